@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, media, token_count, url_filter
+from . import bpe, exact_dedup, media, token_count, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_token_count": token_count.op3_token_count,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_media": media.op10_media,
 }
 
 ORACLE_SQL = {
+    "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
 }
