@@ -61,6 +61,26 @@ def task_count(spark: SparkSession, units: float, per_task: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(units / per_task) + 1)
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """UTF-8 bytes of all texts, which says how many shards an index needs."""
+    return int(docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0)
+
+
+def by_bytes(batch, column: str, budget: int):
+    """Slices of an Arrow batch whose texts hold about budget bytes; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lo, total = 0, 0
+    for hi, size in enumerate(sizes.tolist()):
+        if total + size > budget and hi > lo:
+            yield batch.slice(lo, hi - lo)
+            lo, total = hi, 0
+        total += size
+    if batch.num_rows > lo:
+        yield batch.slice(lo)
+
+
 def write_file(uri: str, data: bytes) -> None:
     """Writes a file of the shared folder from a task or the driver, under a temporary name first, so retries are safe."""
     fs, path = filesystem(uri)
