@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_score, media, near_dedup, token_count, url_filter
+from . import bpe, exact_dedup, lm_score, media, near_dedup, packing, token_count, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_token_count": token_count.op3_token_count,
+    "op5_packing": packing.op5_packing,
     "op6_lm_score": lm_score.op6_lm_score,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_near_dedup": near_dedup.op8_near_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_packing": packing.op5_packing,
     "op6_lm_score": lm_score.op6_lm_score,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_near_dedup": near_dedup.op8_near_dedup,
