@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_score, media, near_dedup, packing, token_count, url_filter
+from . import bpe, exact_dedup, lm_score, media, near_dedup, packing, quality, token_count, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_token_count": token_count.op3_token_count,
+    "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
     "op6_lm_score": lm_score.op6_lm_score,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
     "op6_lm_score": lm_score.op6_lm_score,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
