@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_score, media, near_dedup, packing, quality, token_count, url_filter
+from . import bpe, exact_dedup, html_extract, lm_score, media, near_dedup, packing, quality, token_count, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_html_text": html_extract.op2_html_text,
     "op3_token_count": token_count.op3_token_count,
     "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
