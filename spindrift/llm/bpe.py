@@ -20,24 +20,24 @@ from pyspark.sql import functions as F
 
 from .common import table, text_of
 
-#: From start(w, p, t), a row for each byte of each word, to the rows of its tokens. A step joins each row and its right
-#: neighbour u with merges, finds each word's pair of least rank (its id, then its place) and contracts it.
+#: From start(g, t), a row for each byte of each word, to the rows of its tokens; g is the word's number << 8 and the byte's
+#: place, so it orders all rows. A step joins each row and its right neighbour u with merges, finds each word's pair of
+#: least rank (its id, then its place) and contracts it.
 ENCODE_SQL = """
-with recursive s(w, p, t, u, done) as (
-  select w, p, t, lead(t) over (partition by w order by p), false from start
+with recursive s(g, t, u, done) as (
+  select g, t, case when lead(g) over (order by g) >> 8 = g >> 8 then lead(t) over (order by g) end, false from start
   union all
-  (with c as (select s.w, s.p, s.t, s.u, m.id as m from s left join merges m on s.t = m.l and s.u = m.r where not done),
-        b as (select w, min(m::bigint << 32 | p) as k from c where m is not null group by w),
-        e as (select c.w, c.p, c.t, k >> 32 as m, k & 4294967295 as spot,
-                     lag(c.p) over (partition by c.w order by c.p) as before from c left join b on c.w = b.w),
-        f as (select w, p, case when p = spot then m else t end as t, spot is null as done from e
-              where spot is null or before is null or before <> spot)
-   select w, p, t, lead(t) over (partition by w order by p), done from f)
+  (with c as (select s.g, s.t, m.id as m from s left join merges m on s.t = m.l and s.u = m.r where not done),
+        b as (select g >> 8 as w, min(m::bigint << 8 | (g & 255)) as k from c where m is not null group by g >> 8),
+        e as (select c.g, c.t, b.k >> 8 as m, (c.g >> 8 << 8) | (b.k & 255) as spot from c left join b on c.g >> 8 = b.w),
+        f as (select g, case when g = spot then m else t end as t, spot, lag(g) over (order by g) as before from e)
+   select g, t, case when lead(g) over (order by g) >> 8 = g >> 8 then lead(t) over (order by g) end, spot is null
+   from f where spot is null or before is null or before <> spot)
 )
-select w, p, t from s where done order by w, p
+select g >> 8 as w, t from s where done order by g
 """
 
-#: The same for long words: a step contracts all places of the pair from the left at once, where that can't matter: no
+#: The same from start(w, p, t) for long words: a step contracts all places of the pair from the left at once, where that can't matter: no
 #: merge with the new token has a lower rank than the new token (table solo has the tokens for which that fails).
 ENCODE_LONG_SQL = """
 with recursive s(w, p, t, u, done) as (
@@ -63,18 +63,48 @@ from (select rows.d, rows.p, vocab.bytes from rows join vocab on vocab.id = rows
 """
 
 
+class IdTable:
+    """Id lists of strings, in one array; it is emptied before it would hold more than `most` strings."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.at, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def missing(self, strings) -> set[str]:
+        strings = set(strings)
+        new = strings.difference(self.slots)
+        if new and len(self.slots) + len(new) > self.most:
+            self._clear()
+            return strings
+        return new
+
+    def add(self, strings: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        self.slots.update(zip(strings, range(len(self.slots), len(self.slots) + len(strings)), strict=True))
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length, self.flat = np.concatenate([self.length, lengths]), np.concatenate([self.flat, flat])
+
+    def ids(self, slots) -> np.ndarray:
+        s = np.array(slots, np.int64)
+        n = self.length[s]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.at[s] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Bpe:
     """A vocabulary of ranks (tiktoken file: base64 bytes and rank in each line) with its merge table in DuckDB."""
 
-    def __init__(self, ranks_path: str, pattern: str, cache_entries: int = 700_000, memory: str = "300MB"):
+    def __init__(self, ranks_path: str, pattern: str, most_words: int = 1_400_000, most_pieces: int = 700_000, memory: str = "300MB"):
         import regex
 
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.words = regex.compile(pattern).findall
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.cache_entries = cache_entries
+        self.word_ids, self.piece_ids = IdTable(most_words), IdTable(most_pieces)
         self.db = duckdb.connect(config={"memory_limit": memory, "threads": 1, "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
         rows = [
             (self.ranks[t[:k]], self.ranks[t[k:]], i)
@@ -89,14 +119,13 @@ class Bpe:
         self.db.execute("create table vocab as select * from vocab")
         self.db.execute("create table solo as select distinct t as id from (select l as t, id from merges union all select r, id from merges) where id < t")
 
-    def merge(self, words: list[str], block_bytes: int = 400_000) -> None:
-        """Puts the ids of new words into the cache; words that are a token as a whole need no merging."""
-        block, size, long = [], 0, []
+    def merge(self, words: list[str], block_bytes: int = 500_000) -> None:
+        """Puts the ids of new words into the table of words; words that are a token as a whole need no merging."""
+        block, size, long, whole = [], 0, [], []
         for w in words:
             raw = w.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                self.cache[w] = (whole,)
+            if raw in self.ranks:
+                whole.append(w)
                 continue
             if len(raw) > 256:
                 long.append((w, raw))
@@ -110,29 +139,49 @@ class Bpe:
             self._merge_block(block, ENCODE_SQL)
         for w in long:
             self._merge_block([w], ENCODE_LONG_SQL)
+        self.word_ids.add(whole, np.ones(len(whole), np.int64), np.array([self.ranks[w.encode()] for w in whole], np.uint32))
 
     def _merge_block(self, block: list[tuple[str, bytes]], sql: str) -> None:
         lens = np.array([len(r) for _, r in block])
         first = np.repeat(np.cumsum(lens) - lens, lens)
         t = self.byte[np.frombuffer(b"".join(r for _, r in block), np.uint8)]
-        start = pa.table({"w": np.repeat(np.arange(len(block), dtype=np.int32), lens), "p": (np.arange(len(t)) - first).astype(np.int64), "t": t})  # noqa: F841
+        w, p = np.repeat(np.arange(len(block), dtype=np.int64), lens), np.arange(len(t)) - first
+        start = pa.table({"g": w << 8 | p, "w": w.astype(np.int32), "p": p, "t": t})  # noqa: F841
         out = self.db.execute(sql).fetchnumpy()
-        ids = out["t"].tolist()
-        ends = np.cumsum(np.bincount(out["w"], minlength=len(block))).tolist()
-        lo = 0
-        for (w, _), hi in zip(block, ends, strict=True):
-            self.cache[w] = tuple(ids[lo:hi])
-            lo = hi
+        self.word_ids.add([w for w, _ in block], np.bincount(out["w"], minlength=len(block)), out["t"].astype(np.uint32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of every text, as unsigned 32-bit integers."""
-        cut = [self.words(t) for t in texts]
-        if len(self.cache) > self.cache_entries:
-            self.cache.clear()
-        if new := set(chain.from_iterable(cut)).difference(self.cache):
+        """The ids of every text, as unsigned 32-bit integers.
+
+        A space that a visible character follows starts a match of the pattern whatever stands before it, so texts are cut
+        there first; only new pieces are matched. Texts with other spaces are matched as a whole.
+        """
+        cut = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
+        new = self.piece_ids.missing(chain.from_iterable(cut))
+        self._match([p for p in new if self._starts_match(p)], self.piece_ids)
+        get = self.piece_ids.slots.get
+        found = [list(map(get, ps)) for ps in cut]
+        odd = [i for i, slots in enumerate(found) if None in slots]
+        whole = IdTable(len(odd))
+        self._match(list({texts[i] for i in odd}), whole)
+        return [whole.ids([whole.slots[t]]) if None in slots else self.piece_ids.ids(slots) for t, slots in zip(texts, found, strict=True)]
+
+    @staticmethod
+    def _starts_match(piece: str) -> bool:
+        return piece[:1] != " " or (len(piece) > 1 and not piece[1].isspace())
+
+    def _match(self, pieces: list[str], into: IdTable) -> None:
+        """Puts the ids of pieces into a table, word by word."""
+        if not pieces:
+            return
+        cut = [self.words(p) for p in pieces]
+        flat = list(chain.from_iterable(cut))
+        if new := self.word_ids.missing(flat):
             self.merge(list(new))
-        get = self.cache.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, ws)), np.uint32) for ws in cut]
+        slots = np.fromiter(map(self.word_ids.slots.__getitem__, flat), np.int64, len(flat))
+        ends = np.concatenate([[0], np.cumsum(self.word_ids.length[slots])])
+        last = np.cumsum([len(c) for c in cut])
+        into.add(pieces, np.diff(ends[np.concatenate([[0], last])]), self.word_ids.ids(slots))
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of every id list."""
@@ -162,7 +211,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     """Columns id_col, ids array<int>: the byte-level BPE ids of every whole text, without special tokens.
 
     Map-only. Null or empty text: no ids. Null ids and repeated rows are kept row by row. A word of any length is merged
-    as a whole; the worker's bounded cache of merged words only saves time.
+    as a whole; the worker's bounded tables of words only save time.
     """
     return _run(docs, ranks_path, pattern, id_col, text_col, "ids array<int>", lambda b, ids: [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))])
 
