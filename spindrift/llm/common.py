@@ -56,6 +56,12 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 64
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def without(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not in lost (one column of ids), all columns as they were; rows with a null id stay."""
+    gone = materialize(lost.toDF("_gone").filter("_gone is not null").distinct(), "lost")
+    return docs.join(broadcast_if_small(gone, gone.count(), 16), docs[id_col] == F.col("_gone"), "left_anti")
+
+
 def task_count(spark: SparkSession, units: float, per_task: float) -> int:
     """Partitions so that each holds about per_task units; grows with the input, never below the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(units / per_task) + 1)
@@ -91,6 +97,20 @@ def write_file(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
+def exists(uri: str) -> bool:
+    from pyarrow.fs import FileType
+
+    fs, path = filesystem(uri)
+    return fs.get_file_info(path).type != FileType.NotFound
+
+
+def delete_file(uri: str) -> None:
+    """Deletes a file of the shared folder that nothing needs any more; one that is gone already is no error."""
+    if exists(uri):
+        fs, path = filesystem(uri)
+        fs.delete_file(path)
+
+
 def filesystem(uri: str):
     from pyarrow import fs
 
@@ -112,5 +132,5 @@ def map_file(uri: str, dtype=np.uint8) -> np.ndarray:
             path = local
         if len(_MAPPED) > 4096:
             _MAPPED.clear()
-        _MAPPED[uri] = np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+        _MAPPED[uri] = np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray) if os.path.getsize(path) else np.zeros(0, np.uint8)
     return _MAPPED[uri].view(dtype)

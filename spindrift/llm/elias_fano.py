@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 32  # bytes of the unary bit string for each entry of the directory
+BLOCK = 16  # bytes of the unary bit string for each entry of the directory
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: PLACE[b, r]: position of the r-th one in byte b, least significant bit first.
 PLACE = np.zeros((256, 8), np.uint8)
@@ -22,7 +22,7 @@ class EliasFano:
 
     def __init__(self, n: int, l: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.l, self.low, self.high, self.ones = n, l, low, high, ones
-        self.zeros = np.arange(len(ones), dtype=np.int64) * (BLOCK * 8) - ones
+        self.zeros = (np.arange(len(ones), dtype=np.int64) * (BLOCK * 8) - ones.astype(np.int64)).astype(np.uint64)
 
     @classmethod
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -46,7 +46,7 @@ class EliasFano:
         high[top + np.arange(n)] = True
         high = np.packbits(high, bitorder="little")
         per = ONES[high].reshape(blocks, BLOCK).sum(axis=1, dtype=np.int64)
-        return cls(n, l, low, high, np.concatenate([[0], np.cumsum(per)[:-1]]).astype(np.int64))
+        return cls(n, l, low, high, np.concatenate([[0], np.cumsum(per)[:-1]]).astype(np.uint32 if n < 1 << 32 else np.uint64))
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -63,8 +63,8 @@ class EliasFano:
         out = np.empty(len(k), np.int64)
         for lo in range(0, len(k), 1 << 15):
             q = k[lo : lo + (1 << 15)]
-            block = np.searchsorted(counts, q, "right") - 1
-            rest = q - counts[block]
+            block = np.searchsorted(counts, q.astype(counts.dtype), "right") - 1
+            rest = q - counts[block].astype(np.int64)
             raw = self.high[(block * BLOCK)[:, None] + np.arange(BLOCK)]
             raw = raw ^ np.uint8(flip)
             cum = np.cumsum(ONES[raw], axis=1, dtype=np.int16)
@@ -88,19 +88,19 @@ class EliasFano:
         if not len(x) or not self.n:
             return np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
         top, rest = (x >> np.uint64(self.l)).astype(np.int64), x & np.uint64((1 << self.l) - 1)
-        bit = np.where(top > 0, self._select(self.zeros, np.maximum(top - 1, 0), 255) + 1, 0)
-        at = bit - top
-        same = np.zeros(len(x), bool)
-        live = np.arange(len(x))
+        lo = np.where(top > 0, self._select(self.zeros, np.maximum(top - 1, 0), 255) + 1 - top, 0)
+        last = self._select(self.zeros, top, 255) - top
+        hi = last.copy()
+        live = np.flatnonzero(lo < hi)  # values with one high part are sorted by their low parts
         while len(live):
-            b = bit[live]
-            live = live[(self.high[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)]
-            lows = self._lows(at[live])
-            same[live[lows == rest[live]]] = True
-            live = live[lows < rest[live]]
-            at[live] += 1
-            bit[live] += 1
-        return at, same
+            mid = (lo[live] + hi[live]) >> 1
+            less = self._lows(mid) < rest[live]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+            live = live[lo[live] < hi[live]]
+        same = lo < last
+        same[same] = self._lows(lo[same]) == rest[same]
+        return lo, same
 
     def parts(self) -> dict[str, np.ndarray]:
         return {"head": np.array([self.n, self.l], np.int64), "low": self.low, "high": self.high, "ones": self.ones}

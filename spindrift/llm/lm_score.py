@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, by_bytes, map_file, shared_dir, table, text_bytes, text_of, write_file
+from .common import ASCII_LOWER, by_bytes, delete_file, exists, map_file, shared_dir, table, text_bytes, text_of, write_file
 from .elias_fano import EliasFano, of_prefix, pack, prefixed, unpack
 
 #: Stands for the end of a document, and for the context of its first word; no word holds a line feed.
@@ -301,7 +301,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     def finish(batches):
         for pdf in batches:
             for s in pdf["id"].tolist():
-                if sizes.get(s):
+                if sizes.get(s) and not exists(f"{root}/pairs-{s}.bin"):  # else a former attempt has done it
                     quantise(f"{root}/counted-{s}.bin", f"{root}/pairs-{s}.bin", discounts)
             yield pdf
 
@@ -329,6 +329,7 @@ def quantise(source: str, target: str, discounts: list[float]) -> None:
     weight = np.where(total > 0, np.bincount(ctx, cut, own) / np.maximum(total, 1), 1.0)
     keep = {k: a for k, a in arrays.items() if not k.startswith("count.")}
     write_file(target, pack({**keep, **prefixed("prob", quantised((counts - cut) / total[ctx])), **prefixed("weight", quantised(weight))}))
+    delete_file(source)
 
 
 def score_texts(docs: DataFrame, args: tuple, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
