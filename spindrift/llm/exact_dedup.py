@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, broadcast_if_small, materialize, table, text_of
+from .common import ASCII_LOWER, broadcast_if_small, materialize, table, text_of, without
 
 BITS_PER_KEY, PROBES = 12, 4
 
@@ -208,8 +208,7 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_duplicates keeps, all columns as they were; rows with a null id_col stay."""
-    lost = exact_duplicates(docs, keep, id_col, text_col).filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(lost, docs[id_col] == lost["_gone"], "left_anti")
+    return without(docs, exact_duplicates(docs, keep, id_col, text_col).filter(~F.col("kept")).select(id_col), id_col)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
