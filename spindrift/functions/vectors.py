@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with the value computed once: inside a lambda an expression is else computed for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
@@ -27,13 +32,13 @@ def clamp(x: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    scaled = lambda v, length: F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+    return bind(a, lambda v: bind(norm(v), lambda length: scaled(v, length)))
 
 
 def hash_embedding(words: Column, dimension: int = 64) -> Column:
     """Counts of words in buckets by the first byte of their MD5, at unit length. Needs no model."""
     bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % dimension
-    buckets = F.transform(words, bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(buckets, lambda x: x == i)).cast("double"))
-    return l2_normalize(counts)
+    zeros = F.array_repeat(F.lit(0.0), dimension)
+    add = lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1).otherwise(x))
+    return l2_normalize(F.aggregate(F.transform(words, bucket), zeros, add))

@@ -2,11 +2,11 @@
 
 A document's set holds the hashes of its distinct word shingles. One hash function orders all sets; the k smallest values
 are the sketch. Equal sets become one class before anything else, so a group of copies counts once. An inverted list
-names the classes that retain a value. A list links its members to its first member; the best of these links for each
-class, if its estimate and then the exact Jaccard hold, join most groups at once. Pairs that are not yet in one component
-come from the lists a second time: short lists give theirs directly, and a list with too many is cut into finer lists that
-also share a following value of the sketch. No pair is capped away: a list that can't be cut any further gives all of its
-pairs between components.
+names the classes that retain a value. A likely pair shares many values, so classes with few values in lists of two or more
+drop out. Each list has a hub, the member whose lists are the longest; every class is checked against the hub that it
+shares most lists with, which joins most of a group of near copies at the cost of one pair for each. What is left are pairs
+in different components: short lists give theirs by a join, long ones count overlaps of their members' sketches, block
+against block, in tasks of bounded size, and give only pairs that share enough. No pair is capped away.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, table, text_of
+from .common import ASCII_LOWER, materialize, table, text_of, without
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Flipping this bit of unsigned values gives signed ones of the same order.
@@ -37,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of words, remembered in a bounded table."""
 
-    def __init__(self, entries: int = 1_000_000):
+    def __init__(self, entries: int = 500_000):
         self.seen: dict[bytes, int] = {}
         self.entries = entries
 
@@ -74,8 +75,8 @@ def sets_of(texts: list[bytes], width: int) -> list[np.ndarray]:
     return [shingle_set(_WORDS[0].hashes(t.translate(ASCII_LOWER).split()), width) for t in texts]
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """id, n (set size), digest of the set (null if empty), sketch."""
+def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, wide: int) -> DataFrame:
+    """id, n (set size), digest of the set (null if empty), sketch of k values, and the high halves of `wide` values."""
 
     def run(batches):
         for b in batches:
@@ -88,12 +89,13 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([(s[:k] ^ TOP).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        pa.array([(s[:wide] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["id", "n", "digest", "sketch"],
+                    names=["id", "n", "digest", "sketch", "wide"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, digest binary, sketch array<long>")
+    return rows.mapInArrow(run, "id long, n long, digest binary, sketch array<long>, wide binary")
 
 
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -131,6 +133,36 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("comp"))).groupBy("c").agg(F.min("comp").alias("comp"))
 
 
+def likely_pairs(members: list[np.ndarray], sizes: np.ndarray, comps: np.ndarray, ids: np.ndarray, k: int, percent: int, deviations: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of different components that may be linked by the estimate of their sketches of k values.
+
+    The values up to the smaller of two sketches' last values are a sample of the union. Likely: the shared part of the
+    sample is not more than so many standard deviations of a sample without replacement below what links.
+    """
+    own = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    found, column, often = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    keep = often[column] > 1
+    column = np.cumsum(often > 1)[column] - 1
+    grid = np.zeros((len(members), int((often > 1).sum())), np.float32)
+    grid[own[keep], column[keep]] = 1
+    last = np.array([m[-1] if n > k else 0xFFFFFFFF for m, n in zip(members, sizes, strict=True)], np.uint32)
+    upto = np.array([np.searchsorted(m, last, "right") for m in members], np.float32)  # of a row's values, those up to a column's last
+    least, out_a, out_b = percent / 100, [], []
+    for lo in range(0, len(members), 512):
+        rows = slice(lo, lo + 512)
+        shared = grid[rows] @ grid.T
+        sample = upto[rows] + upto[:, rows].T - shared
+        both = (sizes[rows, None] + sizes[None, :]).astype(np.float32)
+        spread = np.sqrt(least * (1 - least) / np.maximum(sample, 1) * np.clip(1 - sample * (1 + least) / both, 0, 1))
+        less = np.minimum(sizes[rows, None], sizes[None, :])
+        good = (shared >= (least - deviations * spread - 0.01) * sample) & (100 * less >= percent * (both - less))
+        good &= (comps[rows, None] != comps[None, :]) & (ids[rows, None] < ids[None, :])
+        x, y = np.nonzero(good)
+        out_a.append(ids[lo + x])
+        out_b.append(ids[y])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
@@ -139,9 +171,11 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     least_estimate: float = 0.4,
-    pairs_per_member: int = 8,
-    depth: int = 16,
-    reach: int = 2,
+    list_values: int = 12,
+    short_list: int = 48,
+    wide: int = 128,
+    deviations: float = 4.5,
+    block: int = 2500,
 ) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, kept.
 
@@ -150,18 +184,17 @@ def near_duplicates(
     share an id are one node. A null id never stands for others: such a row gets the component of an equal set that has an
     id, else null, and then is kept. An empty table gives an empty result.
 
-    least_estimate: pairs whose union sketch estimates less are no candidates (at 0.8 and k = 32, fewer than one in a
-    million linked pairs). A list gives its pairs between components directly up to pairs_per_member for each member; else
-    it is cut by each of the next `reach` values of its members' sketches, at most `depth` values deep.
+    least_estimate: pairs whose union sketch of k values estimates less are no candidates; list_values: so many of the
+    smallest values make the lists that give pairs of components; deviations: how far below the bound an estimate from
+    `wide` values may lie where lists of more than short_list members are compared. At a Jaccard of exactly 0.8 each of
+    these passes over about one pair in a hundred thousand or fewer, at higher ones far less. Lists of more than `block`
+    members are compared block by block.
     """
     spark = docs.sparkSession
-    rows = materialize(_sketches(docs, id_col, text_col, width, k), "sketches")
+    rows = materialize(_sketches(docs, id_col, text_col, width, k, wide), "sketches")
     # Classes of equal sets; c, the smallest id, names the class.
-    classes = materialize(
-        rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("c"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("digest", "c", "n", "sketch"),
-        "classes",
-    )
-    entries = classes.select("c", "n", F.posexplode("sketch").alias("at", "key"))
+    first = (F.min("id").alias("c"), *(F.first(x).alias(x) for x in ("n", "sketch", "wide")))
+    classes = materialize(rows.filter("digest is not null and id is not null").groupBy("digest").agg(*first), "classes")
 
     def checked(pairs: DataFrame, label: str) -> DataFrame:
         """The linked ones of candidate pairs (a, b)."""
@@ -190,34 +223,49 @@ def near_duplicates(
 
         return materialize(both.select("a", "b", "ma", "mb").mapInArrow(exact, "a long, b long"), f"{label}-links")
 
-    # First round: every class against the first member of its lists; the one it shares most lists with is checked.
-    heads = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("c").alias("h"), F.col("c").alias("head"))).alias("m"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    star = entries.join(heads.select("key", "m.head"), "key").filter("head <> c").groupBy("c", "head").agg(F.count(F.lit(1)).alias("shared"))
-    best = star.groupBy("c").agg(F.max(F.struct("shared", "head")).alias("m")).select(F.col("c").alias("a"), F.col("m.head").alias("b"))
+    def alive(lists: DataFrame, label: str) -> DataFrame:
+        """Entries of lists that hold two components, of classes that have enough of these to be in a likely pair."""
+        for turn in range(2):
+            mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+            lists = lists.join(mixed, "key", "left_semi")
+            enough = lists.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.first("need").alias("least")).filter("m >= least").select("c")
+            lists = materialize(lists.join(enough, "c", "left_semi"), f"{label}-{turn}")
+        return lists
+
+    # First round: a likely pair shares so many values that classes with fewer values in lists of two are out of the question.
+    entries = classes.select("c", "n", F.ceil(least_estimate * F.size("sketch")).alias("need"), F.col("c").alias("comp"), F.posexplode("sketch").alias("at", "key"))
+    entries = alive(entries, "entries")
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    weight = entries.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("weight"))
+    hubs = entries.join(weight, "c").groupBy("key").agg(F.max(F.struct("weight", -F.col("c"))).alias("m")).select("key", (-F.col("m.col2")).alias("hub"))
+    star = entries.join(hubs, "key").filter("hub <> c").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    best = star.groupBy("c").agg(F.max(F.struct("shared", -F.col("hub"))).alias("m")).select(F.col("c").alias("a"), (-F.col("m.col2")).alias("b"))
     links = checked(best, "first")
     known = materialize(components(links), "first-components")
 
     # Second round: pairs of one list that are in two components.
-    lists = entries.join(known, "c", "left").select("key", "c", "n", "at", F.coalesce("comp", "c").alias("comp"))
-    found = []
-    for level in range(depth):
-        last = level == depth - 1
-        per_comp = lists.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        sizes = per_comp.groupBy("key").agg(F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("comps"))
-        sizes = sizes.filter("comps > 1").select("key", ((F.col("members") * F.col("members") - F.col("same")) / 2 > pairs_per_member * F.col("members")).alias("long"))
-        lists = materialize(lists.join(sizes, "key"), f"lists-{level}")
-        short = lists if last else lists.filter("not long")
-        x, y = (short.select("key", *(F.col(c).alias(c + s) for c in ("c", "n", "comp"))) for s in "xy")
-        pairs = x.join(y, "key").filter("cx < cy and compx <> compy").filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-        found.append(pairs.select(F.col("cx").alias("a"), F.col("cy").alias("b")))
-        if last or lists.filter("long").isEmpty():
-            break
-        rest = lists.filter("long").join(classes.select("c", "sketch"), "c")
-        ahead = rest.select("key", "c", "n", "comp", "at", F.posexplode(F.slice("sketch", F.col("at") + 2, reach)).alias("step", "nxt"))
-        lists = ahead.select(F.xxhash64("key", "nxt").alias("key"), "c", "n", (F.col("at") + F.col("step") + 1).alias("at"), "comp")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+    lists = entries.drop("comp").join(known, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    lists = alive(lists, "mixed").filter(F.col("at") < list_values).select("key", "c", "n", "comp")
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "size")
+    lists = materialize(lists.join(sizes, "key"), "lists")
+    short = lists.filter(F.col("size") <= short_list)
+    x, y = (short.select("key", *(F.col(c).alias(c + s) for c in ("c", "n", "comp"))) for s in "xy")
+    pairs = x.join(y, "key").filter("cx < cy and compx <> compy").filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    pairs = pairs.select(F.col("cx").alias("a"), F.col("cy").alias("b"))
+
+    # Long lists: a task for each pair of blocks.
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("c"), blocks).cast("int")
+    long = lists.filter(F.col("size") > short_list).join(classes.select("c", "wide"), "c").withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    long = long.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "n", "comp", "wide")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        members = [np.frombuffer(w, np.uint32) for w in pdf["wide"]]
+        a, b = likely_pairs(members, pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["c"].to_numpy(), wide, percent, deviations)
+        return pd.DataFrame({"a": a, "b": b})
+
+    pairs = pairs.unionByName(long.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
     more_links = checked(materialize(pairs.distinct(), "pairs"), "second")
     joined = links.select("a", "b").unionByName(more_links)
     comp = components(joined)
@@ -234,8 +282,7 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates keeps, all columns as they were; rows with a null id_col stay."""
-    lost = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col).filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(lost, docs[id_col] == lost["_gone"], "left_anti")
+    return without(docs, near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(id_col), id_col)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
