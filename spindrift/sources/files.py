@@ -18,7 +18,7 @@ def relative(path: Column, root: str) -> Column:
 
 
 def read_texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """source, text of all files below root whose name matches, read as whole files; \\r\\n and \\r become \\n."""
+    """source, text of all files below root whose name matches, read as whole files; \\r\\n and \\r become \\n. Empty files give no row."""
     rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return rows.select(relative(F.col("_metadata.file_path"), root).alias("source"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
