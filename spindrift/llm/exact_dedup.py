@@ -52,7 +52,7 @@ class Run:
 
 def memtable_run(keys: np.ndarray, ids: np.ndarray, largest: bool) -> Run:
     """A sorted run of rows: each digest once, with the identifier to keep and its number of rows."""
-    order = np.lexsort((-ids if largest else ids, keys))
+    order = np.lexsort((~ids if largest else ids, keys))  # ~ turns the order round without overflow
     keys, ids = keys[order], ids[order]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
