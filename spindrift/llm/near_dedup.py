@@ -17,10 +17,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, table, text_of, without
+from .common import ASCII_LOWER, broadcast_if_small, materialize, table, text_of, without
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Flipping this bit of unsigned values gives signed ones of the same order.
@@ -133,11 +133,21 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("comp"))).groupBy("c").agg(F.min("comp").alias("comp"))
 
 
-def likely_pairs(members: list[np.ndarray], sizes: np.ndarray, comps: np.ndarray, ids: np.ndarray, k: int, percent: int, deviations: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of different components that may be linked by the estimate of their sketches of k values.
+def likely(shared, sample, both, percent: int, deviations: float):
+    """Whether a sample of a union, both being the sizes' sum, shares enough: at most so many standard deviations (of a
+    sample without replacement) less than what links."""
+    least = percent / 100
+    spread = np.sqrt(least * (1 - least) / np.maximum(sample, 1) * np.clip(1 - sample * (1 + least) / both, 0, 1))
+    return shared >= (least - deviations * spread - 0.01) * sample
 
-    The values up to the smaller of two sketches' last values are a sample of the union. Likely: the shared part of the
-    sample is not more than so many standard deviations of a sample without replacement below what links.
+
+def likely_pairs(
+    members: list[np.ndarray], sizes: np.ndarray, comps: np.ndarray, ids: np.ndarray, key: int, first: int, k: int, percent: int, deviations: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of different components that may be linked by the estimate of their sketches of k values, of the list
+    of `key`: only those that have no smaller value in common among their first ones, so each pair comes from one list.
+
+    The values up to the smaller of two sketches' last values are a sample of the union.
     """
     own = np.repeat(np.arange(len(members)), [len(m) for m in members])
     found, column, often = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
@@ -147,19 +157,26 @@ def likely_pairs(members: list[np.ndarray], sizes: np.ndarray, comps: np.ndarray
     grid[own[keep], column[keep]] = 1
     last = np.array([m[-1] if n > k else 0xFFFFFFFF for m, n in zip(members, sizes, strict=True)], np.uint32)
     upto = np.array([np.searchsorted(m, last, "right") for m in members], np.float32)  # of a row's values, those up to a column's last
-    least, out_a, out_b = percent / 100, [], []
+    head = np.stack([np.pad(m[:first], (0, max(0, first - len(m))), constant_values=0) for m in members])
+    head = np.where(np.arange(first) < np.minimum(sizes, first)[:, None], head.astype(np.int64), -1 - np.arange(len(members))[:, None])
+    out_a, out_b = [], []
     for lo in range(0, len(members), 512):
         rows = slice(lo, lo + 512)
         shared = grid[rows] @ grid.T
         sample = upto[rows] + upto[:, rows].T - shared
         both = (sizes[rows, None] + sizes[None, :]).astype(np.float32)
-        spread = np.sqrt(least * (1 - least) / np.maximum(sample, 1) * np.clip(1 - sample * (1 + least) / both, 0, 1))
         less = np.minimum(sizes[rows, None], sizes[None, :])
-        good = (shared >= (least - deviations * spread - 0.01) * sample) & (100 * less >= percent * (both - less))
+        good = likely(shared, sample, both, percent, deviations) & (100 * less >= percent * (both - less))
         good &= (comps[rows, None] != comps[None, :]) & (ids[rows, None] < ids[None, :])
         x, y = np.nonzero(good)
-        out_a.append(ids[lo + x])
-        out_b.append(ids[y])
+        for at in range(0, len(x), 1 << 14):
+            i, j = lo + x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+            common = head[i][:, :, None] == head[j][:, None, :]
+            mine = np.where(common.any(axis=2), head[i], 1 << 40).min(axis=1) == key
+            out_a.append(ids[i[mine]])
+            out_b.append(ids[j[mine]])
+    if not out_a:
+        return ids[:0], ids[:0]
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
@@ -193,23 +210,40 @@ def near_duplicates(
     spark = docs.sparkSession
     rows = materialize(_sketches(docs, id_col, text_col, width, k, wide), "sketches")
     # Classes of equal sets; c, the smallest id, names the class.
-    first = (F.min("id").alias("c"), *(F.first(x).alias(x) for x in ("n", "sketch", "wide")))
+    first = (F.min("id").alias("c"), *(F.first(x).alias(x) for x in ("n", "sketch")))
     classes = materialize(rows.filter("digest is not null and id is not null").groupBy("digest").agg(*first), "classes")
 
+    def of_wanted(table_: DataFrame, key: str, wanted: DataFrame, label: str) -> DataFrame:
+        """Rows of table_ whose key is in wanted (c): the ids travel to the rows as long as they are few."""
+        ids = materialize(wanted.distinct(), f"{label}-wanted")
+        return table_.join(broadcast_if_small(ids, ids.count(), 16), table_[key] == ids["c"], "left_semi")
+
     def checked(pairs: DataFrame, label: str) -> DataFrame:
         """The linked ones of candidate pairs (a, b)."""
-        own = classes.select("c", "n", "sketch")
-        one = pairs.join(own.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        two = one.join(own.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-        likely = two.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        likely = likely.filter(F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) >= least_estimate * F.size(union))
-        likely = materialize(likely.select("a", "b"), f"{label}-likely")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        # Texts of the classes that take part: the row that names the class, whatever other rows share its id.
-        texts = docs.select(F.col(id_col).cast("long").alias("c"), text_of(text_col).alias("text")).join(wanted, "c", "left_semi")
+        pairs = pairs.select("a", "b")
+        own = of_wanted(rows, "id", pairs.select(F.explode(F.array("a", "b")).alias("c")), f"{label}-sketches").select("id", "n", "wide")
+        one = pairs.join(own.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a")
+        two = one.join(own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
+        two = two.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+        def estimate(batches):
+            for b in batches:
+                keep = []
+                sizes = zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True)
+                for x, y, (na, nb) in zip(b.column("wa"), b.column("wb"), sizes, strict=True):
+                    p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                    upto = min(p[-1] if na > wide else 0xFFFFFFFF, q[-1] if nb > wide else 0xFFFFFFFF)
+                    p, q = p[: np.searchsorted(p, upto, "right")], q[: np.searchsorted(q, upto, "right")]
+                    shared = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum()) if len(p) else 0
+                    keep.append(bool(likely(shared, len(p) + len(q) - shared, na + nb, percent, deviations)))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        good = materialize(two.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(estimate, "a long, b long"), f"{label}-likely")
+        # Texts of the classes that take part: the rows that name the classes.
+        texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("text"))
+        texts = of_wanted(texts, "_id", good.select(F.explode(F.array("a", "b")).alias("c")), label).select(F.col("_id").alias("c"), "text")
         sets = materialize(_full_sets(texts, width), f"{label}-sets")
-        both = likely.join(sets.select(F.col("c").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("c").alias("b"), F.col("members").alias("mb")), "b")
+        both = good.join(sets.select(F.col("c").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("c").alias("b"), F.col("members").alias("mb")), "b")
 
         def exact(batches):
             for b in batches:
@@ -223,18 +257,18 @@ def near_duplicates(
 
         return materialize(both.select("a", "b", "ma", "mb").mapInArrow(exact, "a long, b long"), f"{label}-links")
 
-    def alive(lists: DataFrame, label: str) -> DataFrame:
+    def alive(lists: DataFrame, comp: Column, label: str) -> DataFrame:
         """Entries of lists that hold two components, of classes that have enough of these to be in a likely pair."""
         for turn in range(2):
-            mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+            mixed = lists.groupBy("key").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi")).filter("lo < hi").select("key")
             lists = lists.join(mixed, "key", "left_semi")
             enough = lists.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.first("need").alias("least")).filter("m >= least").select("c")
             lists = materialize(lists.join(enough, "c", "left_semi"), f"{label}-{turn}")
         return lists
 
     # First round: a likely pair shares so many values that classes with fewer values in lists of two are out of the question.
-    entries = classes.select("c", "n", F.ceil(least_estimate * F.size("sketch")).alias("need"), F.col("c").alias("comp"), F.posexplode("sketch").alias("at", "key"))
-    entries = alive(entries, "entries")
+    entries = classes.select("c", F.ceil(least_estimate * F.size("sketch")).cast("int").alias("need"), F.posexplode("sketch").alias("at", "key"))
+    entries = alive(entries, F.col("c"), "entries")
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     weight = entries.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("weight"))
     hubs = entries.join(weight, "c").groupBy("key").agg(F.max(F.struct("weight", -F.col("c"))).alias("m")).select("key", (-F.col("m.col2")).alias("hub"))
@@ -244,8 +278,8 @@ def near_duplicates(
     known = materialize(components(links), "first-components")
 
     # Second round: pairs of one list that are in two components.
-    lists = entries.drop("comp").join(known, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    lists = alive(lists, "mixed").filter(F.col("at") < list_values).select("key", "c", "n", "comp")
+    lists = entries.join(known, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    lists = alive(lists, F.col("comp"), "mixed").filter(F.col("at") < list_values).select("key", "c", "comp").join(classes.select("c", "n"), "c")
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "size")
     lists = materialize(lists.join(sizes, "key"), "lists")
     short = lists.filter(F.col("size") <= short_list)
@@ -256,13 +290,15 @@ def near_duplicates(
     # Long lists: a task for each pair of blocks.
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("c"), blocks).cast("int")
-    long = lists.filter(F.col("size") > short_list).join(classes.select("c", "wide"), "c").withColumn("own", own)
+    long = lists.filter(F.col("size") > short_list)
+    long = long.join(of_wanted(rows, "id", long.select("c"), "long").select(F.col("id").alias("c"), "wide"), "c").withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     long = long.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "n", "comp", "wide")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         members = [np.frombuffer(w, np.uint32) for w in pdf["wide"]]
-        a, b = likely_pairs(members, pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["c"].to_numpy(), wide, percent, deviations)
+        key = (int(pdf["key"].iloc[0]) ^ -(1 << 63)) % (1 << 64) >> 32
+        a, b = likely_pairs(members, pdf["n"].to_numpy(), pdf["comp"].to_numpy(), pdf["c"].to_numpy(), key, list_values, wide, percent, deviations)
         return pd.DataFrame({"a": a, "b": b})
 
     pairs = pairs.unionByName(long.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
