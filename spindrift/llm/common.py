@@ -117,6 +117,18 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("/", "file:")) else os.path.abspath(uri))
 
 
+_RESIDENT: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make):
+    """The one object of this worker process that holds tables for an operator: the next operator's takes its place, so
+    that a worker which serves one stage after the other does not hold the tables of all."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 _MAPPED: dict[str, np.ndarray] = {}
 
 

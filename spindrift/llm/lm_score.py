@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, by_bytes, delete_file, exists, map_file, shared_dir, table, text_bytes, text_of, write_file
+from .common import ASCII_LOWER, by_bytes, delete_file, exists, map_file, resident, shared_dir, table, text_bytes, text_of, write_file
 from .elias_fano import EliasFano, of_prefix, pack, prefixed, unpack
 
 #: Stands for the end of a document, and for the context of its first word; no word holds a line feed.
@@ -205,14 +205,8 @@ def first_hash(s: int, shards: int) -> int:
     return -(-(s << 32) // shards) << 32
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def model(root: str, *args) -> Model:
-    if root not in _MODELS:
-        _MODELS.clear()
-        _MODELS[root] = Model(root, *args)
-    return _MODELS[root]
+    return resident(("trie", root), lambda: Model(root, *args))
 
 
 def _counted(docs: DataFrame, id_col: str, text_col: str, keys_of, cut) -> DataFrame:
