@@ -9,10 +9,10 @@ from datetime import datetime, timezone
 from pathlib import Path
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, is_ascii
+from ..functions.text import collapse
 from ..functions.vectors import hash_embedding
 from ..operators import bm25, chunk, diff, expand, fuse
 from ..sources import files
@@ -72,10 +72,9 @@ class Index:
         rows = chunk.chunk_documents(docs, spans=spans)
         known = self.spark.createDataFrame(self.glossary, files.GLOSSARY) if self.glossary else None
         rows = bm25.topic_text(F.col("source"), known, rows, self.topic_prefix)
-        first = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-        # A running sum over one row for each document; the chunks themselves are not sorted as a whole.
-        base = first.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-        return rows.join(base, "source").withColumn("pos", F.col("base") + F.col("pos")).drop("base").withColumn("embedding", self.embedder.embed(F.col("text")))
+        # Range partitions in order of the source: the ids that Spark gives then grow with (source, place), without one sort.
+        placed = rows.repartitionByRange("source").sortWithinPartitions("source", "pos").withColumn("pos", F.monotonically_increasing_id())
+        return placed.withColumn("embedding", self.embedder.embed(F.col("text")))
 
     def build(self, corpus_dir: str, force: bool = False, append: bool = False, progress: Callable[[str], None] | None = None) -> dict:
         """Builds a snapshot and makes it the active one. append takes over a changed corpus and reports the difference; an
@@ -194,4 +193,4 @@ def format_results(hits: Iterable) -> str:
     return "\n\n".join(out) if out else "No results."
 
 
-__all__ = ["Embedder", "HashingEmbedder", "Index", "format_results", "is_ascii"]
+__all__ = ["Embedder", "HashingEmbedder", "Index", "format_results"]
