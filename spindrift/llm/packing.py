@@ -10,8 +10,8 @@ next; what a task leaves open at last is cut into sequences whose lengths are po
 
 from __future__ import annotations
 
+import json
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,18 +20,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_file, materialize, shared_dir, table, text_of, write_file
+from .common import by_bytes, map_file, materialize, resident, shared_dir, table, text_of, write_file
 from .elias_fano import pack, unpack
 from .lm_score import Counter, shard_of, summed
 from .near_dedup import M1, mix
 
 K1, B = 1.5, 0.75
+#: The split pattern of byte-level pre-tokenizers (a fixed value of the format).
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Tokens:
-    """Ids of a tokenizers file, and word hashes for the index. Ids of pieces between spaces are kept in a bounded table."""
+    """Ids of a tokenizers file, and word hashes for the index."""
 
-    def __init__(self, path: str, pieces: int = 900_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,72 +46,55 @@ class Tokens:
         with np.errstate(over="ignore"):
             self.power = np.cumprod(np.full(64, M1, np.uint64), dtype=np.uint64)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most = pieces
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.at, self.length, self.term = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        self.flat = np.zeros(0, np.uint16)
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def terms(self, ids: np.ndarray) -> np.ndarray:
-        """Hashes of the words of a document's ids, one after the other; 0 where there is only punctuation."""
+        self.fast = self._same_by_ranks(path)
+
+    @staticmethod
+    def _same_by_ranks(path: str):
+        """For byte-level BPE whose merges are in the order of their ids, the same ids by a faster library; else None."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before, vocab = spec.get("pre_tokenizer") or {}, spec["model"].get("vocab") or {}
+        merges = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"].get("merges") or []]
+        plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if spec["model"].get("type") != "BPE" or not plain or merges != sorted(merges):
+            return None
+        shown = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+        char = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+        special = {t["content"] for t in spec.get("added_tokens") or []}
+        ranks = {bytes(char[c] for c in t): i for t, i in vocab.items() if t not in special}
+        return tiktoken.Encoding("same", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+
+    def terms(self, docs: list[np.ndarray]) -> list[np.ndarray]:
+        """Hashes of the words of each document's ids, one after the other; 0 where there is only punctuation."""
+        sizes = np.array([len(x) for x in docs], np.int64)
+        ids = np.concatenate([np.zeros(0, np.uint16), *docs])
         if not len(ids):
-            return np.zeros(0, np.uint64)
-        begin = self.starts[ids].copy()
-        begin[0] = True
+            return [np.zeros(0, np.uint64)] * len(docs)
+        begin = self.starts[ids]
+        begin[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         first = np.flatnonzero(begin)
         place = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
         with np.errstate(over="ignore"):
-            return np.add.reduceat(self.hash[ids] * self.power[place & 63], first)
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids (without the end) and words of every text. Spaces that a visible character follows start a match of the
-        pattern, whatever stands before, so texts are cut there; texts with other spaces or special strings are not cut."""
-        plain = [i for i, t in enumerate(texts) if "\0" not in t and not any(s in t for s in self.special)]
-        cut = {i: texts[i].replace(" ", "\0 ").split("\0") for i in plain}
-        new = set(chain.from_iterable(cut.values())).difference(self.slots)
-        if len(self.slots) + len(new) > self.most:
-            self._clear()
-            new = set(chain.from_iterable(cut.values()))
-        self._learn([p for p in new if p[:1] != " " or (len(p) > 1 and not p[1].isspace())])
-        out: list = [None] * len(texts)
-        get = self.slots.get
-        for i, pieces in cut.items():
-            slots = list(map(get, pieces))
-            if None in slots:
-                continue
-            s = np.array(slots, np.int64)
-            n = self.length[s]
-            ends = np.cumsum(n)
-            out[i] = (self.flat[np.repeat(self.at[s] - ends + n, n) + np.arange(ends[-1])], self.term[s])
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
-            out[i] = (ids.astype(np.uint16), self.terms(ids))
-        return [x[0] for x in out], [x[1] for x in out]
-
-    def _learn(self, pieces: list[str]) -> None:
-        if not pieces:
-            return
-        ids = self._ids(pieces)
-        n = np.array([len(x) for x in ids], np.int64)
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
-        self.flat = np.concatenate([self.flat, *(x.astype(np.uint16) for x in ids)])
-        self.length = np.concatenate([self.length, n])
-        self.term = np.concatenate([self.term, np.array([t[0] if len(t := self.terms(x)) else 0 for x in ids], np.uint64)])
-        self.slots.update(zip(pieces, range(len(self.slots), len(self.slots) + len(pieces)), strict=True))
+            words = np.add.reduceat(self.hash[ids] * self.power[place & 63], first)
+        return np.split(words, np.searchsorted(first, np.cumsum(sizes))[:-1])
 
-
-_LOADED: dict[str, Tokens] = {}
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text, without the end. Texts that hold special strings are the tokenizer's own matter."""
+        plain = [self.fast is not None and not any(s in t for s in self.special) for t in texts]
+        other = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [(self.fast(t) if p else np.array(next(other).ids, np.int64)).astype(np.uint16) for t, p in zip(texts, plain, strict=True)]
 
 
 def tokens(path: str) -> Tokens:
-    if path not in _LOADED:
-        _LOADED[path] = Tokens(path)
-    return _LOADED[path]
+    return resident(("tokens", path), lambda: Tokens(path))
+
+
+def _distinct(words: np.ndarray) -> np.ndarray:
+    """Sorted distinct words, without 0."""
+    w = np.sort(words)
+    return w[np.concatenate([w[:1] != 0, w[1:] != w[:-1]])]
 
 
 def _tokenised(docs: DataFrame, path: str, end: int, id_col: str, text_col: str) -> DataFrame:
@@ -130,9 +115,9 @@ def _tokenised(docs: DataFrame, path: str, end: int, id_col: str, text_col: str)
 
         for b in batches:
             for part in by_bytes(b, "text", 2 << 20):
-                ids, words = coder.encode(part.column("text").to_pylist())
-                own = [np.unique(w) for w in words]
-                own = [w[1:] if len(w) and not w[0] else w for w in own]
+                ids = coder.encode(part.column("text").to_pylist())
+                words = coder.terms(ids)
+                own = [_distinct(w) for w in words]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.zeros(len(ids), np.int32)),
@@ -307,7 +292,7 @@ def pack_documents(
     with_ids: bool = True,
     shard_ids: int = 700_000,
     task_bytes: int = 16 << 20,
-    df_shard_bytes: int = 64 << 20,
+    df_shard_bytes: int = 16 << 20,
 ) -> DataFrame:
     """Pieces of all documents in sequences of at most size ids: id_col, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, with_ids, the ids.
@@ -318,7 +303,7 @@ def pack_documents(
     empty result. Vocabularies of up to 65,536 ids are supported.
     """
     spark = docs.sparkSession
-    rows = materialize(_tokenised(docs, tokenizer, end, id_col, text_col), "tokens")
+    rows = materialize(_tokenised(docs, tokenizer, end, id_col, text_col), "tokens", "lz4")
     whole = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.sum(F.octet_length("ids")).alias("bytes")).collect()
     stats = {r.kind: r for r in whole}
     n_docs, n_words, n_bytes = (stats[0].n, stats[0].words, stats[0].bytes) if 0 in stats else (0, 0, 0)
@@ -361,7 +346,7 @@ def pack_documents(
             for part in by_bytes(b, "ids", 2 * shard_ids):
                 ids = [np.frombuffer(x, "<u2") for x in part.column("ids").to_pylist()]
                 names = list(zip(part.column("id").to_pylist(), map(len, ids), strict=True))
-                index = Shard([coder.terms(x[:-1]) for x in ids], df_of, n_docs, mean_words)
+                index = Shard(coder.terms([x[:-1] for x in ids]), df_of, n_docs, mean_words)
                 if found := list(fill_shard(names, ids, windows, index)):
                     yield batch(found)
         if found := windows.close():
