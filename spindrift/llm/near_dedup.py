@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, broadcast_if_small, materialize, table, text_of, without
+from .common import ASCII_LOWER, broadcast_if_small, materialize, resident, table, text_of, without
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Flipping this bit of unsigned values gives signed ones of the same order.
@@ -65,14 +65,10 @@ def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mix(x))
 
 
-_WORDS: list[Words] = []
-
-
 def sets_of(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Shingle sets of whole texts: A-Z lower-cased, words between ASCII white space."""
-    if not _WORDS:
-        _WORDS.append(Words())
-    return [shingle_set(_WORDS[0].hashes(t.translate(ASCII_LOWER).split()), width) for t in texts]
+    table_ = resident(("words",), Words)
+    return [shingle_set(table_.hashes(t.translate(ASCII_LOWER).split()), width) for t in texts]
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, wide: int) -> DataFrame:
@@ -138,7 +134,7 @@ def likely(shared, sample, both, percent: int, deviations: float):
     sample without replacement) less than what links."""
     least = percent / 100
     spread = np.sqrt(least * (1 - least) / np.maximum(sample, 1) * np.clip(1 - sample * (1 + least) / both, 0, 1))
-    return shared >= (least - deviations * spread - 0.01) * sample
+    return shared >= (least - deviations * spread - 1e-6) * sample
 
 
 def likely_pairs(
@@ -190,7 +186,7 @@ def near_duplicates(
     least_estimate: float = 0.4,
     list_values: int = 12,
     short_list: int = 48,
-    wide: int = 128,
+    wide: int = 256,
     deviations: float = 4.5,
     block: int = 2500,
 ) -> DataFrame:
@@ -218,10 +214,13 @@ def near_duplicates(
         ids = materialize(wanted.distinct(), f"{label}-wanted")
         return table_.join(broadcast_if_small(ids, ids.count(), 16), table_[key] == ids["c"], "left_semi")
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("c")).distinct().unionByName(pairs.select(F.col("b").alias("c")).distinct())
+
     def checked(pairs: DataFrame, label: str) -> DataFrame:
         """The linked ones of candidate pairs (a, b)."""
         pairs = pairs.select("a", "b")
-        own = of_wanted(rows, "id", pairs.select(F.explode(F.array("a", "b")).alias("c")), f"{label}-sketches").select("id", "n", "wide")
+        own = of_wanted(rows, "id", ends(pairs), f"{label}-sketches").select("id", "n", "wide")
         one = pairs.join(own.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a")
         two = one.join(own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
         two = two.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -241,7 +240,7 @@ def near_duplicates(
         good = materialize(two.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(estimate, "a long, b long"), f"{label}-likely")
         # Texts of the classes that take part: the rows that name the classes.
         texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("text"))
-        texts = of_wanted(texts, "_id", good.select(F.explode(F.array("a", "b")).alias("c")), label).select(F.col("_id").alias("c"), "text")
+        texts = of_wanted(texts, "_id", ends(good), label).select(F.col("_id").alias("c"), "text")
         sets = materialize(_full_sets(texts, width), f"{label}-sets")
         both = good.join(sets.select(F.col("c").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("c").alias("b"), F.col("members").alias("mb")), "b")
 
