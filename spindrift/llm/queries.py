@@ -17,11 +17,8 @@ QUERIES = {
     "op10_media": media.op10_media,
 }
 
+#: None where SQL cannot express a query; these are tested against brute force.
 ORACLE_SQL = {
-    "op4_quality": quality.op4_quality,
-    "op5_packing": packing.op5_packing,
-    "op6_lm_score": lm_score.op6_lm_score,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
-    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_url_filter": url_filter.OP9_SQL,
 }
