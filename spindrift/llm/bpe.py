@@ -37,24 +37,33 @@ with recursive s(g, t, u, done) as (
 select g >> 8 as w, t from s where done order by g
 """
 
-#: The same from start(w, p, t) for long words: a step contracts all places of the pair from the left at once, where that can't matter: no
-#: merge with the new token has a lower rank than the new token (table solo has the tokens for which that fails).
+#: The same from start(w, p, t) for long words: a step contracts every pair that nothing can forestall. A pair of rank m is
+#: forestalled if its left or right token may get into another merge before: with its present neighbour (the pairs before
+#: and after, whose ranks are `m0` and `m1`), or with a longer token that the neighbour may grow into (`grown0`, `grown1`: the
+#: least rank of such a merge, by the neighbour and the byte beyond it). Of a run of equal pairs every other one is taken, from
+#: the left, or the first alone if merges with the new token may have a lower rank (table solo). The word's leftmost pair of
+#: minimum rank is taken in any case.
 ENCODE_LONG_SQL = """
-with recursive s(w, p, t, u, done) as (
-  select w, p, t, lead(t) over (partition by w order by p), false from start
+with recursive s(w, p, t, done) as (
+  select w, p, t, false from start
   union all
-  (with c as (select s.w, s.p, s.t, s.u, m.id as m from s left join merges m on s.t = m.l and s.u = m.r where not done),
-        b as (select w, k, k >> 32 as m, k & 4294967295 as spot, exists (select 1 from solo where solo.id = k >> 32) as one
-              from (select w, min(m::bigint << 32 | p) as k from c where m is not null group by w)),
-        e as (select c.w, c.p, c.t, b.m, b.k is null as done, coalesce(c.m = b.m and (not b.one or c.p = b.spot), false) as hit
-              from c left join b on c.w = b.w),
-        g as (select *, row_number() over (partition by w order by p) - row_number() over (partition by w, hit order by p) as run from e),
-        h as (select *, hit and row_number() over (partition by w, hit, run order by p) % 2 = 1 as take from g),
-        f as (select *, coalesce(lag(take) over (partition by w order by p), false) as gone from h),
-        n as (select w, p, case when take then m else t end as t, done from f where not gone)
-   select w, p, t, lead(t) over (partition by w order by p), done from n)
+  (with n as (select w, p, t, lag(t) over o as t0, lead(t) over o as t1, lag(tail) over o as tail0, lag(tail, 2) over o as tail00, lead(head, 3) over o as head3,
+                     lead(t, 2) over o as t2
+              from s join ends on ends.id = s.t where not done window o as (partition by w order by p)),
+        a as (select n.w, n.p, n.t, m.id as m, behind.id as grown0, ahead.id as grown1
+              from n left join merges m on n.t = m.l and n.t1 = m.r
+                     left join behind on behind.k = ((n.tail00::bigint << 40) | (n.t0::bigint << 20) | n.t)
+                     left join ahead on ahead.k = ((n.head3::bigint << 40) | (n.t1::bigint << 20) | n.t2)),
+        b as (select *, lag(m) over o as m0, lead(m) over o as m1, min((m::bigint << 32) | p) over (partition by w) as best from a window o as (partition by w order by p)),
+        c as (select *, coalesce(m <= coalesce(m1, m) and m <= coalesce(grown1, m) and m <= coalesce(m0, m) and m < coalesce(grown0, m + 1), false) or coalesce(m = best >> 32 and m not in (select id from solo), false) as free from b),
+        r as (select *, row_number() over (partition by w order by p) - row_number() over (partition by w, free order by p) as run from c),
+        f as (select *, row_number() over q as place, first_value(m0 is null or m0 > m) over q as sure from r window q as (partition by w, free, run order by p)),
+        h as (select w, p, t, m, best is null as done,
+                     coalesce(p = best & 4294967295, false) or (free and sure and place % 2 = 1) as take from f),
+        g as (select *, coalesce(lag(take) over (partition by w order by p), false) as gone from h)
+   select w, p, case when take then m else t end, done from g where not gone)
 )
-select w, p, t from s where done order by w, p
+select w, t from s where done order by w, p
 """
 
 DECODE_SQL = """
@@ -117,38 +126,91 @@ class Bpe:
         vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})  # noqa: F841
         self.db.execute("create table merges as select * from merges")
         self.db.execute("create table vocab as select * from vocab")
+        #: Whether two bytes stand next to each other in a token; between others no merge ever reaches.
+        self.joined = np.zeros((256, 256), bool)
+        for t in self.ranks:
+            self.joined[list(t[:-1]), list(t[1:])] = True
+        self.has_long_tables = False
+
+    def _long_tables(self) -> None:
+        """Tables that only long words need: what a neighbour may grow into, by it, its next byte and the token that waits."""
+        self.has_long_tables = True
+        tokens = {i: t for t, i in self.ranks.items()}
+        ahead: dict[int, int] = {}
+        behind: dict[int, int] = {}
+        for l, r, i in self.db.execute("select l, r, id from merges").fetchall():
+            left, right = tokens[l], tokens[r]
+            for k in range(1, len(right)):
+                if (part := self.ranks.get(right[:k])) is not None:
+                    key = right[k] << 40 | l << 20 | part
+                    ahead[key] = min(i, ahead.get(key, i))
+            for k in range(1, len(left)):
+                if (part := self.ranks.get(left[k:])) is not None:
+                    key = left[k - 1] << 40 | part << 20 | r
+                    behind[key] = min(i, behind.get(key, i))
+        for name, found in (("ahead", ahead), ("behind", behind)):
+            rows = pa.table({"k": pa.array(found.keys(), pa.int64()), "id": pa.array(found.values(), pa.int32())})  # noqa: F841
+            self.db.execute(f"create table {name} as select * from rows")
+        rows = pa.table({"id": pa.array(tokens.keys(), pa.int32()), "head": [t[0] for t in tokens.values()], "tail": [t[-1] for t in tokens.values()]})  # noqa: F841
+        self.db.execute("create table ends as select id, head::int as head, tail::int as tail from rows")
         self.db.execute("create table solo as select distinct t as id from (select l as t, id from merges union all select r, id from merges) where id < t")
 
     def merge(self, words: list[str], block_bytes: int = 500_000) -> None:
         """Puts the ids of new words into the table of words; words that are a token as a whole need no merging."""
-        block, size, long, whole = [], 0, [], []
+        block, size, whole = [], 0, []
         for w in words:
             raw = w.encode()
             if raw in self.ranks:
                 whole.append(w)
-                continue
-            if len(raw) > 256:
-                long.append((w, raw))
-                continue
-            block.append((w, raw))
-            size += len(raw)
+            elif len(raw) > 256:
+                ids = self._long_ids(raw, block_bytes)
+                self.word_ids.add([w], np.array([len(ids)]), ids)
+            else:
+                block.append((w, raw))
+                size += len(raw)
             if size >= block_bytes:
-                self._merge_block(block, ENCODE_SQL)
+                self._merge_block(block)
                 block, size = [], 0
         if block:
-            self._merge_block(block, ENCODE_SQL)
-        for w in long:
-            self._merge_block([w], ENCODE_LONG_SQL)
+            self._merge_block(block)
         self.word_ids.add(whole, np.ones(len(whole), np.int64), np.array([self.ranks[w.encode()] for w in whole], np.uint32))
 
-    def _merge_block(self, block: list[tuple[str, bytes]], sql: str) -> None:
-        lens = np.array([len(r) for _, r in block])
+    def _merge_block(self, block: list[tuple[str, bytes]]) -> None:
+        self.word_ids.add([w for w, _ in block], *self._merged([r for _, r in block], ENCODE_SQL))
+
+    def _merged(self, words: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the words' ids, and all ids one after the other."""
+        lens = np.array([len(r) for r in words])
         first = np.repeat(np.cumsum(lens) - lens, lens)
-        t = self.byte[np.frombuffer(b"".join(r for _, r in block), np.uint8)]
-        w, p = np.repeat(np.arange(len(block), dtype=np.int64), lens), np.arange(len(t)) - first
+        t = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        w, p = np.repeat(np.arange(len(words), dtype=np.int64), lens), np.arange(len(t)) - first
         start = pa.table({"g": w << 8 | p, "w": w.astype(np.int32), "p": p, "t": t})  # noqa: F841
         out = self.db.execute(sql).fetchnumpy()
-        self.word_ids.add([w for w, _ in block], np.bincount(out["w"], minlength=len(block)), out["t"].astype(np.uint32))
+        return np.bincount(out["w"], minlength=len(words)), out["t"].astype(np.uint32)
+
+    def _long_ids(self, raw: bytes, block_bytes: int) -> np.ndarray:
+        """Ids of a long word: it is cut where no token reaches across, each different part is merged once."""
+        b = np.frombuffer(raw, np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist(), len(raw)]
+        parts = [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        known: dict[bytes, np.ndarray] = {}
+        short: list[bytes] = []
+        for part in dict.fromkeys(parts):
+            if len(part) <= 256:
+                short.append(part)
+            else:
+                if not self.has_long_tables:
+                    self._long_tables()
+                known[part] = self._merged([part], ENCODE_LONG_SQL)[1]
+        at = 0
+        while at < len(short):
+            size, lo = 0, at
+            while at < len(short) and size < block_bytes:
+                size += len(short[at])
+                at += 1
+            lengths, ids = self._merged(short[lo:at], ENCODE_SQL)
+            known.update(zip(short[lo:at], np.split(ids, np.cumsum(lengths)[:-1]), strict=True))
+        return np.concatenate([known[part] for part in parts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text, as unsigned 32-bit integers.
