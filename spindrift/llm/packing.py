@@ -26,6 +26,8 @@ from .lm_score import Counter, shard_of, summed
 from .near_dedup import M1, mix
 
 K1, B = 1.5, 0.75
+#: Tokens of a word at most; what follows stands in a script without spaces.
+LONG_WORD = 12
 #: The split pattern of byte-level pre-tokenizers (a fixed value of the format).
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -38,9 +40,13 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
+            raise ValueError(f"{path} has {size} ids; packing holds ids in 16 bits")
         strings = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.starts = np.array([s.startswith("Ġ") for s in strings])
-        word = np.array([any(c.isalnum() for c in s.replace("Ġ", "").replace("Ċ", "")) for s in strings])
+        word = np.array([any(c.isalnum() for c in s.replace("Ġ", "").replace("Ċ", "").replace("ĉ", "")) for s in strings])
+        #: Behind a token of white space or punctuation alone, and behind a line feed or tab, a new word starts.
+        self.parts = np.array([s[-1:] in ("Ċ", "ĉ") for s in strings]) | ~word
         #: A word's hash adds its tokens' hashes by place; punctuation adds nothing.
         self.hash = np.where(word, mix(np.arange(1, size + 1, dtype=np.uint64)), np.uint64(0))
         with np.errstate(over="ignore"):
@@ -73,18 +79,32 @@ class Tokens:
         if not len(ids):
             return [np.zeros(0, np.uint64)] * len(docs)
         begin = self.starts[ids]
+        begin[1:] |= self.parts[ids[:-1]]
         begin[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         first = np.flatnonzero(begin)
         place = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
+        far = place >= LONG_WORD  # no word of a language with spaces: each further token counts as one
+        if far.any():
+            first = np.flatnonzero(begin | far)
+            place = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
         with np.errstate(over="ignore"):
             words = np.add.reduceat(self.hash[ids] * self.power[place & 63], first)
         return np.split(words, np.searchsorted(first, np.cumsum(sizes))[:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, without the end. Texts that hold special strings are the tokenizer's own matter."""
-        plain = [self.fast is not None and not any(s in t for s in self.special) for t in texts]
-        other = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [(self.fast(t) if p else np.array(next(other).ids, np.int64)).astype(np.uint16) for t, p in zip(texts, plain, strict=True)]
+        found: list[np.ndarray | None] = [None if self.fast is None or any(s in t for s in self.special) else self._by_ranks(t) for t in texts]
+        other = [i for i, x in enumerate(found) if x is None]
+        for i, e in zip(other, self.tokenizer.encode_batch([texts[i] for i in other], add_special_tokens=False), strict=True):
+            found[i] = np.array(e.ids, np.int64)
+        return [x.astype(np.uint16) for x in found]
+
+    def _by_ranks(self, text: str) -> np.ndarray | None:
+        """None where the library gives up: it goes back character by character on white space, up to a million of them."""
+        try:
+            return self.fast(text)
+        except ValueError:
+            return None
 
 
 def tokens(path: str) -> Tokens:
