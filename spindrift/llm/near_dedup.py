@@ -137,6 +137,38 @@ def likely(shared, sample, both, percent: int, deviations: float):
     return shared >= (least - deviations * spread - 1e-6) * sample
 
 
+def overlaps(members: list[np.ndarray], few: int = 64, columns: int = 2048) -> np.ndarray:
+    """For every two members the number of values that both hold; memory grows with the square of the members alone.
+
+    A value that few members hold adds to each of their pairs; the others are multiplied as columns, some at a time.
+    """
+    n = len(members)
+    own = np.repeat(np.arange(n), [len(m) for m in members])
+    flat = np.concatenate(members)
+    order = np.argsort(flat, kind="stable")
+    own, flat = own[order], flat[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    often = np.diff(np.append(first, len(flat)))
+    out = np.zeros((n, n), np.float32)
+    for m in np.unique(often[(often > 1) & (often <= few)]).tolist():
+        x, y = np.triu_indices(m, 1)
+        starts = first[often == m]
+        step = max(1, (1 << 22) // len(x))
+        for lo in range(0, len(starts), step):
+            rows = own[starts[lo : lo + step, None] + np.arange(m)]
+            np.add.at(out.reshape(-1), (rows[:, x].astype(np.int64) * n + rows[:, y]).ravel(), np.float32(1))
+    out += out.T
+    np.fill_diagonal(out, 0)
+    wide = np.flatnonzero(often > few)
+    for lo in range(0, len(wide), columns):
+        part = wide[lo : lo + columns]
+        grid = np.zeros((n, len(part)), np.float32)
+        for column, (at, m) in enumerate(zip(first[part].tolist(), often[part].tolist(), strict=True)):
+            grid[own[at : at + m], column] = 1
+        out += grid @ grid.T
+    return out
+
+
 def likely_pairs(
     members: list[np.ndarray], sizes: np.ndarray, comps: np.ndarray, ids: np.ndarray, key: int, first: int, k: int, percent: int, deviations: float
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -145,12 +177,7 @@ def likely_pairs(
 
     The values up to the smaller of two sketches' last values are a sample of the union.
     """
-    own = np.repeat(np.arange(len(members)), [len(m) for m in members])
-    found, column, often = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
-    keep = often[column] > 1
-    column = np.cumsum(often > 1)[column] - 1
-    grid = np.zeros((len(members), int((often > 1).sum())), np.float32)
-    grid[own[keep], column[keep]] = 1
+    every = overlaps(members)
     last = np.array([m[-1] if n > k else 0xFFFFFFFF for m, n in zip(members, sizes, strict=True)], np.uint32)
     upto = np.array([np.searchsorted(m, last, "right") for m in members], np.float32)  # of a row's values, those up to a column's last
     head = np.stack([np.pad(m[:first], (0, max(0, first - len(m))), constant_values=0) for m in members])
@@ -158,7 +185,7 @@ def likely_pairs(
     out_a, out_b = [], []
     for lo in range(0, len(members), 512):
         rows = slice(lo, lo + 512)
-        shared = grid[rows] @ grid.T
+        shared = every[rows]
         sample = upto[rows] + upto[:, rows].T - shared
         both = (sizes[rows, None] + sizes[None, :]).astype(np.float32)
         less = np.minimum(sizes[rows, None], sizes[None, :])
@@ -322,3 +349,22 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+#: Brute force: all pairs of different sets by their shingles, then everything reachable by links.
+OP8_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+e as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)),
+sets as (select doc_id, list(hash(s) order by hash(s)) as s, count(*) as n from e group by doc_id),
+classes as (select s, min(doc_id) as c, any_value(n) as n from sets group by s),
+x as (select c, n, unnest(s) as h from classes),
+links as (
+  select a, b from (select x.c as a, y.c as b, x.n as na, y.n as nb, count(*) as m from x join x y on x.h = y.h and x.c < y.c and 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) group by all)
+  where 100 * m >= 80 * (na + nb - m)),
+ends as (select a, b from links union all select b, a from links),
+reach(c, r) as (select c, c from classes union select ends.b, reach.r from reach join ends on ends.a = reach.c where reach.r < ends.b),
+comp as (select c, min(r) as component_id from reach group by c)
+select d.doc_id, coalesce(sets.n, 0)::bigint as n_shingles, coalesce(component_id, d.doc_id) as component_id, d.doc_id = coalesce(component_id, d.doc_id) as kept
+from d left join sets using (doc_id) left join classes using (s) left join comp using (c)
+"""

@@ -20,5 +20,6 @@ QUERIES = {
 #: None where SQL cannot express a query; these are tested against brute force.
 ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op8_near_dedup": near_dedup.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
 }
