@@ -6,6 +6,8 @@ import argparse
 import json
 import sys
 
+from . import __version__
+
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="spindrift")
@@ -21,12 +23,14 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--force", action="store_true")
     parser.add_argument("--append", action="store_true")
     parser.add_argument("--json", action="store_true")
+    parser.add_argument("--smoke", action="store_true", help="for doctor: try the server, with a search for TEXT if given")
+    parser.add_argument("--version", action="version", version=__version__)
     given = parser.parse_args(args)
 
     from pyspark.sql import SparkSession
 
     from .plans.index import Index, format_results
-    from .plans.server import Server
+    from .plans.server import Server, smoke
     from .plans.store import CorpusNotFound, IndexProblem
 
     def load(path, empty):
@@ -44,11 +48,14 @@ def main(args: list[str] | None = None) -> int:
             show(index.build(given.corpus, given.force, given.append))
         elif given.verb == "query":
             hits = [r.asDict() for r in index.search(given.text or "", given.top_k, given.profile, given.demote_frontmatter).collect()]
-            show(hits) if given.json else print(format_results(hits))
+            show(hits) if given.json else print(format_results(hits, given.text or ""))
         elif given.verb == "info":
             show(index.info(given.corpus))
         elif given.verb == "doctor":
             found = index.doctor(given.corpus)
+            if given.smoke:
+                found["server"] = smoke(index, given.text)
+                found["ok"] = found["ok"] and found["server"]["ok"]
             show(found)
             return 0 if found["ok"] else 1
         else:

@@ -6,14 +6,17 @@ these and the text; every seventh counts as front matter. Vectors belong to the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .functions.vectors import hash_embedding
-from .operators import bm25, chunk, diff, evaluate, expand, fuse, ingest
+from .functions.vectors import hash_embedding, hash_embedding_entries
+from .operators import bm25, chunk, diff, evaluate, fuse, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,6 +58,25 @@ def corpus(spark: SparkSession, sf_dir: str, topic: bool = False) -> DataFrame:
     return bm25.topic_text(F.col("source"), glossary, rows) if topic else rows
 
 
+def scratch(spark: SparkSession) -> Path:
+    """A new folder that driver and executors see: below spark.checkpoint.dir, if that is set."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:")
+    path = Path(root) / f"spindrift-{uuid.uuid4().hex}"
+    path.mkdir(parents=True)
+    return path
+
+
+_SAVED: dict[tuple[str, str], bm25.Postings] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str) -> bm25.Postings:
+    """The postings of the corpus view, written once for each session; searches read them."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _SAVED:
+        _SAVED[key] = bm25.save_postings(corpus(spark, sf_dir, topic=True), str(scratch(spark)))
+    return _SAVED[key]
+
+
 def asked(spark: SparkSession, many: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(list(many.items()), "query_id string, text string")
 
@@ -62,8 +84,6 @@ def asked(spark: SparkSession, many: dict[str, str]) -> DataFrame:
 # SQL of the corpus view and the text functions. RE2 has no look-behind; the camel rule is the same with two groups.
 def _norm(c: str) -> str:
     camel = f"regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
-    # A letter that ends one match can't start the next, so the rule runs twice.
-    camel = f"regexp_replace({camel}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
     return f"trim(regexp_replace(lower(regexp_replace({camel}, '::|[_/]', ' ', 'g')), '\\s+', ' ', 'g'))"
 
 
@@ -185,19 +205,18 @@ def doc_freq_idf(spark, sf_dir):
 
 @query("bm25_topk", f"with {_scores(_values({'q': QUERY}))} select pos, id, score, rank from lexical")
 def bm25_topk(spark, sf_dir):
-    index = bm25.build_postings(corpus(spark, sf_dir, topic=True))
-    return bm25.search(index, asked(spark, {"q": QUERY})).drop("query_id")
+    return bm25.search(saved(spark, sf_dir), asked(spark, {"q": QUERY})).drop("query_id")
 
 
 @query("bm25_multi_query", f"with {_scores(_values(MANY))} select query_id, pos, id, score, rank from lexical")
 def bm25_multi_query(spark, sf_dir):
-    return bm25.search(bm25.build_postings(corpus(spark, sf_dir, topic=True)), asked(spark, MANY))
+    return bm25.search(saved(spark, sf_dir), asked(spark, MANY))
 
 
 @query("contamination_search", f"with {_scores('(select item_id::varchar as query_id, text from benchmark)')} select query_id, pos, score, rank from lexical where rank <= 5")
 def contamination_search(spark, sf_dir):
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
-    return bm25.search(bm25.build_postings(corpus(spark, sf_dir, topic=True)), queries, 5).select("query_id", "pos", "score", "rank")
+    return bm25.search(saved(spark, sf_dir), queries, 5).select("query_id", "pos", "score", "rank")
 
 
 CONVERSATION = f"""
@@ -260,8 +279,8 @@ embedded as (select doc_id, b, c / n as x from counts join norms using (doc_id))
 
 @query("hash_embed_docs", f"with {BUCKETS} select doc_id, b as bucket, round(x, 6) as x from embedded")
 def hash_embed_docs(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", hash_embedding(T.terms(F.col("text"), False)).alias("v"))
-    return rows.select("doc_id", F.posexplode("v").alias("bucket", "x")).filter("x > 0").select("doc_id", "bucket", F.round("x", 6).alias("x"))
+    found = hash_embedding_entries(read(spark, sf_dir, "documents"), "doc_id", T.terms(F.col("text"), False))
+    return found.select("doc_id", "bucket", F.round("x", 6).alias("x"))
 
 
 @query(
@@ -288,7 +307,7 @@ fused as (select query_id, id, round(sum(1.0 / (60 + rank)), 12)::double as raw
 
 def _fused(spark, sf_dir):
     chunks = corpus(spark, sf_dir, topic=True)
-    lexical = bm25.search(bm25.build_postings(chunks), asked(spark, {"q": QUERY}))
+    lexical = bm25.search(saved(spark, sf_dir), asked(spark, {"q": QUERY}))
     rows = vectors(spark, sf_dir)
     one = rows.orderBy("vec_id").limit(1).select(F.lit("q").alias("query_id"), F.col("embedding").alias("qvec"))
     own = rows.join(chunks.select(F.col("pos").alias("vec_id"), "id"), "vec_id")
@@ -353,16 +372,6 @@ def confidence_bands(spark, sf_dir):
     return fuse.rrf(lists).select("id", fuse.band(F.col("raw")).alias("band"))
 
 
-@query(
-    "expand_queries",
-    """select * from (values ('e1', 'primary feed other feed first source FeedZero src_zero second source FeedOne'),
-    ('e2', 'get primary feed first source FeedZero src_zero'), ('e3', 'no names here'),
-    ('e4', 'feed primary feed first source FeedZero src_zero third source')) t(query_id, expanded)""",
-)
-def expand_queries(spark, sf_dir):
-    return asked(spark, EXPANDED).select("query_id", expand.Expander(GLOSSARY).column(F.col("text")).alias("expanded"))
-
-
 @query(
     "snapshot_diff",
     """with o as (select sha256(text) as id from documents where doc_id % 5 <> 0), n as (select sha256(text) as id from documents where doc_id % 5 <> 1),
@@ -461,28 +470,6 @@ def dictionary_grounding(spark, sf_dir):
     return ingest.dictionary_grounding(read(spark, sf_dir, "documents"), spark.createDataFrame([(c,) for c in CONCEPTS], "concept string"))
 
 
-@query(
-    "chunk_quality",
-    f"""with {VIEW}, t as (select id, len(regexp_extract_all(text, '{TOKEN_RE}')) as n from corpus)
-    select count(*) as chunks, count(distinct id) as ids, max(n)::bigint as max_tokens, count(*) filter (n > 384) as over_limit, 0::bigint as unbalanced from t""",
-)
-def chunk_quality(spark, sf_dir):
-    return ingest.chunk_quality(corpus(spark, sf_dir))
-
-
-@query("fence_gates", "select doc_id, 0::bigint as broken_fences, 0::bigint as lone_backticks, 0::bigint as agent_reads, 0::bigint as persona_lines, 0::bigint as fences from documents")
-def fence_gates(spark, sf_dir):
-    return ingest.fence_gates(read(spark, sf_dir, "documents"), "doc_id")
-
-
-@query("chunk_pages")
-def chunk_pages(spark, sf_dir):
-    """Pages as Markdown, in chunks (no SQL: the chunker is a state machine; tests hold it against plain expectations)."""
-    pages = page_markdown(spark, sf_dir).filter("markdown <> ''")
-    docs = pages.select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".md")).alias("source"), F.col("markdown").alias("text"))
-    return chunk.chunk_documents(docs)
-
-
 # Evaluation: the first vector of each label asks, vectors of its label are relevant.
 RANKED = f"{NEAR}, first_hit as (select f.query_id, min(n.rank) as first from first f left join near n on n.query_id = f.query_id and n.label::varchar = f.query_id and n.vec_id <> f.own and n.rank <= 30 group by f.query_id)"
 
@@ -519,7 +506,7 @@ def passage_recall(spark, sf_dir):
     """Labels: of each benchmark item's hits, the document with the least number; a third of the items have none."""
     chunks = corpus(spark, sf_dir, topic=True)
     queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
-    hits = bm25.search(bm25.build_postings(chunks), queries).join(chunks.select("pos", "source", "heading"), "pos")
+    hits = bm25.search(saved(spark, sf_dir), queries).join(chunks.select("pos", "source", "heading"), "pos")
     labels = hits.filter("cast(query_id as int) % 3 <> 0").groupBy("query_id").agg(F.min_by("source", "pos").alias("source"), F.min_by("heading", "pos").alias("heading"))
     return evaluate.passage_recall(hits, labels).select(F.round("passage_recall", 6).alias("passage_recall"))
 
@@ -546,3 +533,4 @@ def gates(spark, sf_dir):
     return evaluate.gates(metrics, {"recall": (">=", 0.8), "mrr": (">=", 0.5)}).select("gate", F.round("value", 6).alias("value"), "passed")
 
 
+from . import catalogue_inputs  # noqa: E402,F401  registers its queries here

@@ -23,10 +23,15 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: Characters that the compatibility composition never changes or combines: ASCII, most Latin letters and signs, CJK.
+STABLE_LATIN = r"\x00-\x7f\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{ff}"
+STABLE = STABLE_LATIN + r"\x{100}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{20ac}\x{3001}-\x{3029}\x{3400}-\x{9fff}"
+
+
 def nfkc(c: Column) -> Column:
-    """Compatibility composition; ASCII texts pass through as they are (the function sees an empty text instead)."""
-    plain = ~c.rlike(r"[^\x00-\x7f]")
-    return F.when(plain, c).otherwise(_nfkc(F.when(plain, F.lit("")).otherwise(c)))
+    """Compatibility composition. Texts of stable characters pass through as they are: the function sees a null instead."""
+    plain = (F.octet_length(c) == F.length(c)) | ~c.rlike(f"[^{STABLE_LATIN}]") | ~c.rlike(f"[^{STABLE}]")
+    return F.coalesce(_nfkc(F.when(plain, F.lit(None).cast("string")).otherwise(c)), c)
 
 
 def collapse(c: Column) -> Column:
@@ -34,17 +39,19 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
 
 
+def _split_camel(c: Column, compatibility: bool) -> Column:
+    return F.regexp_replace(nfkc(c) if compatibility else c, "([a-z0-9])([A-Z])", "$1 $2")
+
+
 def normalize(c: Column, compatibility: bool = True) -> Column:
     """Compatibility form, camel case split, '::', '_' and '/' as spaces, lower case, single spaces."""
-    x = nfkc(c) if compatibility else c
-    x = F.regexp_replace(x, "(?<=[a-z0-9])(?=[A-Z])", " ")
-    x = F.regexp_replace(x, "::|[_/]", " ")
-    return collapse(F.lower(x))
+    return collapse(F.lower(F.regexp_replace(_split_camel(c, compatibility), "::|[_/]", " ")))
 
 
 def terms(c: Column, compatibility: bool = True) -> Column:
-    """Terms of a text in order: runs of a-z and 0-9, and single CJK characters, of the normalised text."""
-    return F.regexp_extract_all(normalize(c, compatibility), F.lit(TERM), F.lit(0))
+    """Terms of a text in order: runs of a-z and 0-9, and single CJK characters, of the normalised text (what normalising does
+    to white space and to characters that are in no term is left out)."""
+    return F.regexp_extract_all(F.lower(_split_camel(c, compatibility)), F.lit(TERM), F.lit(0))
 
 
 def tokens(c: Column) -> Column:
@@ -79,10 +86,6 @@ def chunk_id(source: Column, heading: Column, text: Column) -> Column:
     return F.sha2(F.concat(source, F.lit("\0"), heading, F.lit("\0"), text), 256)
 
 
-def is_frontmatter(heading: Column, text: Column) -> Column:
-    return (heading == PREFACE) & F.regexp_replace(text, f"^{SPACE}+", "").startswith("---")
-
-
 def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", "")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,9 +36,19 @@ def l2_normalize(a: Column) -> Column:
     return bind(a, lambda v: bind(norm(v), lambda length: scaled(v, length)))
 
 
+def bucket_of(word: Column, dimension: int = 64) -> Column:
+    return F.conv(F.substring(F.md5(word), 1, 2), 16, 10).cast("int") % dimension
+
+
+def hash_embedding_entries(docs: DataFrame, key: str, words: Column, dimension: int = 64) -> DataFrame:
+    """key, bucket, x: the entries above 0 of hash_embedding, by counting; a whole table in one pass."""
+    counts = docs.select(key, F.explode(words).alias("_w")).groupBy(key, bucket_of(F.col("_w"), dimension).alias("bucket")).agg(F.count(F.lit(1)).alias("_c"))
+    norms = counts.groupBy(key).agg(F.sqrt(F.sum((F.col("_c") * F.col("_c")).cast("double"))).alias("_n"))
+    return counts.join(norms, key).select(key, "bucket", (F.col("_c") / F.col("_n")).alias("x"))
+
+
 def hash_embedding(words: Column, dimension: int = 64) -> Column:
     """Counts of words in buckets by the first byte of their MD5, at unit length. Needs no model."""
-    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % dimension
-    zeros = F.array_repeat(F.lit(0.0), dimension)
-    add = lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1).otherwise(x))
-    return l2_normalize(F.aggregate(F.transform(words, bucket), zeros, add))
+    places = F.sequence(F.lit(0), F.lit(dimension - 1))
+    count = lambda found: F.transform(places, lambda i: (F.size(found) - F.size(F.array_remove(found, i))).cast("double"))
+    return l2_normalize(bind(F.transform(words, lambda w: bucket_of(w, dimension)), count))

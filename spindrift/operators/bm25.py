@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms, topic_of
@@ -19,11 +19,12 @@ DIGITS = 9
 
 @dataclass(frozen=True)
 class Postings:
-    """postings (term, pos, freq, length), stats (pos, id, length) and corpus (n_docs, avg_length; one row)."""
+    """postings (term, pos, freq, length), stats (pos, id, length), corpus (n_docs, avg_length; one row), terms (term, df)."""
 
     postings: DataFrame
     stats: DataFrame
     corpus: DataFrame
+    terms: DataFrame
 
 
 def topic_text(source, glossary: DataFrame | None, docs: DataFrame, prefix: str = "") -> DataFrame:
@@ -36,18 +37,49 @@ def topic_text(source, glossary: DataFrame | None, docs: DataFrame, prefix: str
 
 
 def weighted_terms(chunks: DataFrame, compatibility: bool = True) -> DataFrame:
-    """pos, term, freq: three for each occurrence in the heading, two in the topic, one in the text."""
+    """pos, term, freq: three for each occurrence in the heading, two in the topic, one in the text.
+
+    Term lists, made once, are dealt by pos; what is counted by pos and term, or by pos alone, then needs no further shuffle.
+    """
     fields = F.array(*(F.struct(F.lit(w).alias("w"), terms(F.col(c), compatibility).alias("t")) for w, c in ((WEIGHTS["heading"], "heading"), (WEIGHTS["topic"], "topic_text"), (WEIGHTS["body"], "text"))))
-    each = chunks.select("pos", F.explode(fields).alias("f")).select("pos", F.col("f.w").alias("w"), F.explode("f.t").alias("term"))
+    dealt = chunks.select("pos", fields.alias("f")).repartition("pos")
+    each = dealt.select("pos", F.explode("f").alias("f")).select("pos", F.col("f.w").alias("w"), F.explode("f.t").alias("term"))
     return each.groupBy("pos", "term").agg(F.sum("w").cast("double").alias("freq"))
 
 
 def build_postings(chunks: DataFrame, compatibility: bool = True) -> Postings:
     """An index of chunks (pos, id, heading, topic_text, text). Chunks without terms have length 1."""
-    freq = weighted_terms(chunks, compatibility)
+    return _postings(chunks, weighted_terms(chunks, compatibility))
+
+
+def _postings(chunks: DataFrame, freq: DataFrame) -> Postings:
     lengths = freq.groupBy("pos").agg(F.sum("freq").alias("length"))
     stats = chunks.select("pos", "id").join(lengths, "pos", "left").select("pos", "id", F.coalesce("length", F.lit(1.0)).alias("length"))
-    return Postings(freq.join(lengths, "pos"), stats, stats.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length")))
+    corpus = stats.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"))
+    return Postings(freq.join(lengths, "pos"), stats, corpus, freq.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+
+
+TABLES = ("postings", "stats", "corpus", "terms")
+
+
+def save_postings(chunks: DataFrame, path: str, compatibility: bool = True) -> Postings:
+    """Writes an index below a folder and opens it. Texts are read once: all tables come from the written frequencies.
+
+    Postings and terms are in ranges of terms, sorted: a query reads the row groups that hold its terms.
+    """
+    spark = chunks.sparkSession
+    weighted_terms(chunks, compatibility).write.parquet(f"{path}/frequencies")
+    made = _postings(chunks, spark.read.parquet(f"{path}/frequencies"))
+    made.postings.repartitionByRange("term").sortWithinPartitions("term", "pos").write.parquet(f"{path}/postings")
+    made.terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    made.stats.write.parquet(f"{path}/stats")
+    sizes = spark.read.parquet(f"{path}/stats").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"))
+    sizes.coalesce(1).write.parquet(f"{path}/corpus")
+    return open_postings(spark, path)
+
+
+def open_postings(spark: SparkSession, path: str) -> Postings:
+    return Postings(*(spark.read.parquet(f"{path}/{t}") for t in TABLES))
 
 
 def query_terms(queries: DataFrame, compatibility: bool = True) -> DataFrame:
@@ -61,16 +93,17 @@ def idf(n, df):
 
 def document_frequencies(index: Postings) -> DataFrame:
     """term, df, idf."""
-    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(index.corpus)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))  # corpus has one row
+    return index.terms.crossJoin(F.broadcast(index.corpus)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))  # corpus has one row
 
 
 def scores(index: Postings, queries: DataFrame, compatibility: bool = True) -> DataFrame:
-    """query_id, pos, score of all chunks that share a term with a query. Occurrences in the query multiply."""
-    q = query_terms(queries, compatibility)
-    hits = index.postings.join(q, "term")
-    df = index.postings.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    full = hits.join(df, "term").crossJoin(F.broadcast(index.corpus))  # one row
+    """query_id, pos, score of all chunks that share a term with a query. Occurrences in the query multiply.
+
+    Query terms meet the term table first, and with their document frequencies the postings; both joins are broadcasts where
+    Spark finds the terms small, else shuffles.
+    """
+    q = query_terms(queries, compatibility).join(index.terms, "term").crossJoin(F.broadcast(index.corpus))  # one row
+    full = index.postings.join(q, "term")
     mean = F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(1.0)
     part = F.col("qf") * idf(F.col("n_docs"), F.col("df")) * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("length") / mean))
     return full.groupBy("query_id", "pos").agg(F.round(F.sum(part), DIGITS).alias("score"))

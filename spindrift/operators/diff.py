@@ -20,6 +20,13 @@ def manifest_diff(expected: DataFrame, found: DataFrame, key: str = "path", valu
     return both.select(key, state.alias("state")).filter("state is not null")
 
 
+def manifest_summary(expected: DataFrame, found: DataFrame, key: str = "path", value: str = "hash") -> DataFrame:
+    """One row: missing, stale, extra and their sum, differences."""
+    states = manifest_diff(expected, found, key, value)
+    n = lambda s: F.count_if(F.col("state") == s).alias(s)
+    return states.agg(n("missing"), n("stale"), n("extra"), F.count(F.lit(1)).alias("differences"))
+
+
 def new_rows(candidates: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
     """Candidates whose key is not known."""
     return candidates.join(known.select(key), key, "left_anti")

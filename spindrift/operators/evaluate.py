@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,15 +40,19 @@ def split_stats(found: DataFrame, by: list[str], k: int = 3, depth: int = 5) ->
 def exclusive_quantile(values: DataFrame, column: str, q: float, by: list[str] | None = None) -> DataFrame:
     """Quantile by exclusive interpolation (position q * (n + 1)), for all rows or each group.
 
-    Only the two order statistics around the position are kept: rows are ranked, not gathered.
+    Only the two order statistics around the position are kept. Distinct values are counted and dealt by ranges; a range
+    starts to count where the ranges before it end, so neither a large group nor a table without groups is one task's work.
     """
-    from pyspark.sql import Window
-
     by = by or []
     rows = values.filter(F.col(column).isNotNull())
     n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
     counted = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("c"))
-    upto = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(column)))
+    ranges = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.repartitionByRange(ranges, *by, column).withColumn("_range", F.spark_partition_id())
+    ends = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = dealt.groupBy(*by, "_range").agg(F.sum("c").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(ends), F.lit(0))).drop("_n")
+    within = F.sum("c").over(Window.partitionBy(*by, "_range").orderBy(column))
+    upto = dealt.withColumn("_upto", within).join(starts, [*by, "_range"]).withColumn("upto", F.col("_upto") + F.col("_before"))
     joined = upto.join(n, by) if by else upto.crossJoin(F.broadcast(n))  # one row
     at = F.lit(q) * (F.col("n") + 1)
     place = F.greatest(F.lit(1), F.least(F.floor(at), F.col("n") - 1))
@@ -57,6 +61,26 @@ def exclusive_quantile(values: DataFrame, column: str, q: float, by: list[str] |
     return out.select(*by, F.coalesce(F.col("a") + (F.col("b") - F.col("a")) * F.col("f"), F.col("lo")).alias("quantile"))
 
 
+#: Bounds that a release of a knowledge base must keep: rates of retrieval, seconds, bytes, tokens (fixed values). Gains and
+#: losses are differences against the vector profile.
+RELEASE_GATES: dict[str, tuple[str, float]] = {
+    "heldout_zh_recall_at_3": (">=", 0.80),
+    "zh_gain": (">=", 0.20),
+    "heldout_en_recall_at_3": (">=", 0.90),
+    "en_gain": (">=", -0.02),
+    "mrr_at_5_gain": (">=", 0.0),
+    "heldout_passage_recall_at_3": (">=", 0.80),
+    "natural_zh_recall_at_3": (">=", 0.40),
+    "hot_query_p95_s": ("<", 1.0),
+    "cold_query_s": ("<", 15.0),
+    "model_bytes_least": (">=", 80 << 20),
+    "model_bytes_most": ("<=", 150 << 20),
+    "index_bytes": ("<=", 20 << 20),
+    "max_chunk_tokens": ("<=", 384),
+    "unbalanced_fences": ("<=", 0),
+}
+
+
 def gates(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
     """gate, value, passed for one row of metrics; limits: (">=" or "<=" or "<", bound) by column."""
     checks = {"≥": lambda c, x: c >= x, ">=": lambda c, x: c >= x, "<=": lambda c, x: c <= x, "<": lambda c, x: c < x}

@@ -6,7 +6,6 @@ import re
 import unicodedata
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +45,3 @@ class Expander:
         """For a column of queries; the dictionaries travel with the function."""
         return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else self(x)), "string")(c)
 
-
-def expand_frame(queries: pd.Series, expander: Expander) -> pd.Series:
-    return queries.map(expander)

@@ -13,12 +13,24 @@ RRF_K = 60
 STRONG, USABLE, WEAK = 0.025, 0.015, 0.012
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, limit: int = 30, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+#: Queries that travel to the vectors at once.
+QUERY_BLOCK = 10_000
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, limit: int = 30, id_col: str = "id", vector: str = "embedding", n_queries: int | None = None) -> DataFrame:
     """query_id, id, score, rank: exact search of query vectors (query_id, qvec) against all vectors.
 
-    The queries, a stated set that the caller keeps small, travel to the vectors; each task keeps the best of its own.
+    The queries are counted, unless the caller knows their number, and travel to the vectors in blocks of bounded size; each
+    task keeps the best of its own.
     """
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).crossJoin(F.broadcast(queries.select("query_id", "qvec")))
+    n = queries.count() if n_queries is None else n_queries
+    blocks = -(-n // QUERY_BLOCK) or 1
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    pairs = None
+    for i in range(blocks):
+        block = queries.select("query_id", "qvec") if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "qvec")
+        found = own.crossJoin(F.broadcast(block))
+        pairs = found if pairs is None else pairs.unionByName(found)
     scored = pairs.select("query_id", "id", F.round(clamp(cosine(F.col("v"), F.col("qvec"))), DIGITS).alias("score"))
     return top(scored, limit, tie="id")
 

@@ -71,10 +71,10 @@ def crawl_stats(pages: DataFrame, html: str = "html") -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("pages"), n(F.col("ok"))("fetched"), n(~F.col("ok"))("failed"), n(F.col("n") > 0)("written"), n(F.col("n"))("blocks"), n(F.col("c"))("chars"))
 
 
-def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, line (from 1), content."""
-    split = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n")
-    return docs.select(key, F.posexplode(split).alias("line", "content")).select(key, (F.col("line") + 1).alias("line"), "content")
+def privacy_patterns(project_names: Iterable[str] = (), tool_paths: Iterable[str] = ()) -> tuple[tuple[str, str], ...]:
+    """PRIVACY_PATTERNS and, of a user's own, names of private projects (whole words, any case) and paths of authors' tools."""
+    own = (("private project name", [rf"\b{re.escape(n)}\b" for n in project_names]), ("author tooling path", [re.escape(p) for p in tool_paths]))
+    return (*PRIVACY_PATTERNS, *((label, "(?i)" + "|".join(found)) for label, found in own if found))
 
 
 def privacy_scan(docs: DataFrame, key: str, text: str = "text", patterns: Iterable[tuple[str, str]] = PRIVACY_PATTERNS, allowed: Iterable[str] = GENERIC_EXAMPLES, exempt: Column | None = None) -> DataFrame:
@@ -167,12 +167,25 @@ def publish(docs: DataFrame, excluded: Iterable[str] = (), topics: Iterable[str]
     return split.select("source", F.concat_ws("\n", "head", sanitized(F.col("body"), keep & F.col("head").isNotNull())).alias("text"))
 
 
+def dictionary_empties(phrases: DataFrame) -> DataFrame:
+    """phrase of the rows (phrase, concepts) that have no concept, or only blank ones."""
+    return phrases.filter(~F.exists(F.coalesce("concepts", F.array().cast("array<string>")), lambda c: F.trim(c) != "")).select("phrase")
+
+
+#: Concepts that travel to the documents at once.
+CONCEPT_BLOCK = 10_000
+
+
 def dictionary_grounding(docs: DataFrame, concepts: DataFrame, text: str = "text") -> DataFrame:
-    """concept, grounded: whether the normalised concept occurs in a normalised document. Concepts (concept) are a small,
-    stated set; their array travels to the documents, and each task reports each concept once."""
-    own = concepts.agg(F.sort_array(F.collect_set("concept")).alias("_concepts"))  # the stated set
-    pairs = docs.select(normalize(F.col(text)).alias("_t")).crossJoin(F.broadcast(own))
-    seen = pairs.select(F.explode(F.filter("_concepts", lambda c: F.col("_t").contains(normalize(c, False)))).alias("concept")).distinct()
+    """concept, grounded: whether the normalised concept occurs in a normalised document. Concepts (concept) are counted and
+    travel to the documents in blocks of bounded size; each task reports each concept once."""
+    blocks = -(-concepts.count() // CONCEPT_BLOCK) or 1
+    texts, seen = docs.select(normalize(F.col(text)).alias("_t")), None
+    for i in range(blocks):
+        own = concepts.filter(F.pmod(F.xxhash64("concept"), F.lit(blocks)) == i).agg(F.sort_array(F.collect_set("concept")).alias("_concepts"))  # one block
+        pairs = texts.crossJoin(F.broadcast(own))
+        found = pairs.select(F.explode(F.filter("_concepts", lambda c: F.col("_t").contains(normalize(c, False)))).alias("concept")).distinct()
+        seen = found if seen is None else seen.unionByName(found)
     return concepts.select("concept").distinct().join(seen.withColumn("_s", F.lit(True)), "concept", "left").select("concept", F.coalesce("_s", F.lit(False)).alias("grounded"))
 
 
@@ -205,6 +218,13 @@ def fence_gates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     )
 
 
+def fence_parity(published: DataFrame, sources: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """key, published, source, state of documents whose numbers of fence lines differ, or that only one side has."""
+    left, right = (fence_gates(d, key, text).select(key, F.col("fences").alias(n)) for d, n in ((published, "published"), (sources, "source")))
+    state = F.when(F.col("source").isNull(), "extra").when(F.col("published").isNull(), "missing").when(F.col("published") != F.col("source"), "different")
+    return left.join(right, key, "full").withColumn("state", state).filter("state is not null")
+
+
 # API comments of C++ headers.
 MACROS = ("UCLASS", "USTRUCT", "UENUM", "UINTERFACE", "UFUNCTION", "UPROPERTY")
 TYPE_DECLARATION = re.compile(r"(class|struct|enum\s+class|enum)\s+(\w+)(\s*:\s*[^{]+)?\s*\{")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..functions.text import collapse
 from ..functions.vectors import hash_embedding
 from ..operators import bm25, chunk, diff, expand, fuse
@@ -20,6 +22,8 @@ from .store import SCHEMA_VERSION, CorpusNotFound, IndexProblem, ModelUnavailabl
 
 CHUNKER_VERSION = "2"
 PROFILES = ("hybrid", "vector")
+# Fixed texts of results.
+HEADLINE, NOTHING_FOUND = "🔍 检索：", "没有找到相关结果。"
 
 
 class Embedder(Protocol):
@@ -45,6 +49,31 @@ class HashingEmbedder:
         return hash_embedding(F.filter(words, lambda w: w != ""), self.dimension)
 
 
+@dataclass
+class BatchEmbedder:
+    """A model: encode takes up to `batch` texts and gives a vector for each. It travels to the tasks, which call it on Arrow
+    batches. Without a dimension, one text is encoded on the driver to learn it; vectors get unit length."""
+
+    encode: Callable[[list[str]], Iterable]
+    name: str
+    revision: str | None = None
+    dimension: int = 0
+    batch: int = 64
+
+    def __post_init__(self):
+        self.dimension = self.dimension or len(self._vectors(["x"])[0])
+
+    def _vectors(self, texts: list[str]) -> list[np.ndarray]:
+        found = [np.asarray(v, np.float64) for lo in range(0, len(texts), self.batch) for v in self.encode(texts[lo : lo + self.batch])]
+        sizes = {len(v) for v in found}
+        if len(found) != len(texts) or len(sizes) > 1 or (self.dimension and sizes and sizes != {self.dimension}):
+            raise ModelUnavailable(f"{self.name} gave {len(found)} vectors of {sorted(sizes)} values for {len(texts)} texts")
+        return [v / n if (n := np.linalg.norm(v)) > 0 else v for v in found]
+
+    def embed(self, text: Column) -> Column:
+        return F.pandas_udf(lambda s: pd.Series(self._vectors(s.fillna("").tolist()), index=s.index), "array<double>")(text)
+
+
 @dataclass
 class Index:
     spark: SparkSession
@@ -61,11 +90,7 @@ class Index:
 
     # Building
     def fingerprint(self, corpus_dir: str) -> str:
-        """Of the files' names, sizes and hashes in order of names: one short row for each file comes to the driver."""
-        out = hashlib.sha256()
-        for r in files.file_hashes(files.read_bytes(self.spark, corpus_dir)).orderBy("source").toLocalIterator():
-            out.update(f"{r.source}\0{r.length}\0{r.hash}\n".encode())
-        return out.hexdigest()
+        return files.fingerprint(files.file_hashes(files.read_bytes(self.spark, corpus_dir))).first().fingerprint
 
     def chunks(self, docs: DataFrame, spans: chunk.Spans = chunk.regex_spans) -> DataFrame:
         """Chunks with ids, vectors and places: pos orders them by source and place in it."""
@@ -77,12 +102,20 @@ class Index:
         return placed.withColumn("embedding", self.embedder.embed(F.col("text")))
 
     def build(self, corpus_dir: str, force: bool = False, append: bool = False, progress: Callable[[str], None] | None = None) -> dict:
-        """Builds a snapshot and makes it the active one. append takes over a changed corpus and reports the difference; an
-        index that exists is else only replaced with force. A failed build leaves the active snapshot as it is."""
-        say = progress or (lambda _: None)
+        """Builds a snapshot of a folder's Markdown files and makes it the active one. append takes over a changed corpus and
+        reports the difference; an index that exists is else only replaced with force. A failed build leaves the active
+        snapshot as it is."""
         require_ascii(self.root)
         if "://" not in corpus_dir and not Path(corpus_dir).is_dir():
             raise CorpusNotFound(f"no folder {corpus_dir}")
+        docs = files.read_markdown(self.spark, corpus_dir)
+        return self.build_documents(docs, str(corpus_dir), lambda: self.fingerprint(corpus_dir), force, append, progress)
+
+    def build_documents(self, docs: DataFrame, source: str, fingerprint: Callable[[], str], force: bool = False, append: bool = False, progress: Callable[[str], None] | None = None, repeats: str = "fail") -> dict:
+        """The same for documents (source, text) from anywhere; `source` names where they come from. Chunks of one document that
+        are equal have one id: repeats tells whether the build fails then, or takes the "first" of them."""
+        say = progress or (lambda _: None)
+        require_ascii(self.root)
         old = None
         try:
             old = self.store.current()
@@ -93,47 +126,43 @@ class Index:
             pass
         if old is not None and not (force or append):
             raise IndexProblem("an index exists; build with force or append")
-        docs = files.read_markdown(self.spark, corpus_dir).cache()
-        try:
+        with self.store.lock():
             n_files = docs.count()
             if not n_files:
-                raise CorpusNotFound(f"no Markdown files below {corpus_dir}")
-            with self.store.lock():
-                self.store.sweep()
-                generation = self.store.create()
-                try:
-                    say(f"{n_files} files")
-                    path = str(generation)
-                    self.chunks(docs).write.parquet(f"{path}/chunks")
-                    written = self.spark.read.parquet(f"{path}/chunks")
-                    sizes = written.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).first()
-                    if not sizes.n:
-                        raise CorpusNotFound("the corpus gives no chunks")
-                    if sizes.n != sizes.ids:
-                        raise IndexProblem(f"{sizes.n - sizes.ids} chunk ids occur twice")
-                    say(f"{sizes.n} chunks")
-                    index = bm25.build_postings(written)
-                    index.postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
-                    index.stats.write.parquet(f"{path}/stats")
-                    self.spark.read.parquet(f"{path}/stats").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length")).write.parquet(f"{path}/corpus")
-                    previous = self.spark.read.parquet(f"{old}/chunks") if old else written.limit(0)
-                    change = diff.snapshot_diff(previous, written).first().asDict()
-                    manifest = {
-                        "schema_version": SCHEMA_VERSION,
-                        "built_at": datetime.now(timezone.utc).isoformat(),
-                        "embedding": {"model": self.embedder.name, "revision": self.embedder.revision, "dimension": self.embedder.dimension, "normalization": "l2"},
-                        "chunker": {"version": CHUNKER_VERSION, "max_tokens": 384, "overlap_tokens": 48},
-                        "corpus": {"sha256": self.fingerprint(corpus_dir), "source": str(corpus_dir), "documents": n_files, "chunks": sizes.n},
-                    }
-                    self.store.write_manifest(generation, manifest)
-                    self.store.activate(generation)
-                    self.store.retain()
-                except BaseException:
-                    self.store.discard(generation)
-                    raise
-        finally:
-            docs.unpersist()
-        return {"files": n_files, "chunks": sizes.n, **change, "generation": generation.name, "schema_version": SCHEMA_VERSION, "root": self.root}
+                raise CorpusNotFound(f"no documents in {source}")
+            self.store.sweep()
+            snapshot = self.store.create()
+            try:
+                say(f"{n_files} files")
+                path = str(snapshot)
+                found = self.chunks(docs)
+                if repeats == "first":
+                    found = found.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).filter("_nth = 1").drop("_nth")
+                found.write.parquet(f"{path}/chunks")
+                written = self.spark.read.parquet(f"{path}/chunks")
+                sizes = written.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).first()
+                if not sizes.n:
+                    raise CorpusNotFound("the corpus gives no chunks")
+                if sizes.n != sizes.ids:
+                    raise IndexProblem(f"{sizes.n - sizes.ids} chunk ids occur twice")
+                say(f"{sizes.n} chunks")
+                bm25.save_postings(written, path)
+                previous = self.spark.read.parquet(f"{old}/chunks") if old else written.limit(0)
+                change = diff.snapshot_diff(previous, written).first().asDict()
+                manifest = {
+                    "schema_version": SCHEMA_VERSION,
+                    "built_at": datetime.now(timezone.utc).isoformat(),
+                    "embedding": {"model": self.embedder.name, "revision": self.embedder.revision, "dimension": self.embedder.dimension, "normalization": "l2"},
+                    "chunker": {"version": CHUNKER_VERSION, "max_tokens": 384, "overlap_tokens": 48},
+                    "corpus": {"sha256": fingerprint(), "source": source, "documents": n_files, "chunks": sizes.n},
+                }
+                self.store.write_manifest(snapshot, manifest)
+                self.store.activate(snapshot)
+                self.store.retain()
+            except BaseException:
+                self.store.discard(snapshot)
+                raise
+        return {"files": n_files, "chunks": sizes.n, **change, "generation": snapshot.name, "schema_version": SCHEMA_VERSION, "root": self.root}
 
     # Searching
     def open(self) -> tuple[DataFrame, bm25.Postings, dict]:
@@ -143,30 +172,33 @@ class Index:
         own = manifest["embedding"]
         if own["model"] != self.embedder.name or own["dimension"] != self.embedder.dimension or (own["revision"] is not None and own["revision"] != self.embedder.revision):
             raise ModelUnavailable(f"the index was built with {own['model']}, {own['dimension']} dimensions, revision {own['revision']}")
-        read = lambda t: self.spark.read.parquet(f"{generation}/{t}")
-        return read("chunks"), bm25.Postings(read("postings"), read("stats"), read("corpus")), manifest
+        return self.spark.read.parquet(f"{generation}/chunks"), bm25.open_postings(self.spark, str(generation)), manifest
 
-    def search_many(self, queries: DataFrame, top_k: int = 5, profile: str = "hybrid", demote_frontmatter: bool = False) -> DataFrame:
-        """Hits of all queries (query_id, text) in one plan: query_id, id, source, heading, type, score, raw_score, rank, text."""
+    def search_many(self, queries: DataFrame, top_k: int = 5, profile: str = "hybrid", demote_frontmatter: bool = False, n_queries: int | None = None) -> DataFrame:
+        """Hits of all queries (query_id, text) in one plan, n_queries of them if that is known: query_id, id, source, heading, type, score, raw_score, rank, text."""
         if profile not in PROFILES:
             raise ValueError(f"profile must be one of {', '.join(PROFILES)}")
         chunks, postings, _ = self.open()
         asked = queries.select("query_id", (self.expander.column(F.col("text")) if profile == "hybrid" else F.col("text")).alias("text"))
         vectors = asked.select("query_id", self.embedder.embed(F.col("text")).alias("qvec"))
         if profile == "vector":
-            near = fuse.cosine_topk(chunks, vectors, max(0, top_k))
+            near = fuse.cosine_topk(chunks, vectors, max(0, top_k), n_queries=n_queries)
             own = chunks.select("id", "source", "heading", F.coalesce("type", F.lit("content")).alias("type"), "text")
             return near.join(own, "id").select("query_id", "id", "source", "heading", "type", "score", F.col("score").alias("raw_score"), "rank", "text")
-        near = fuse.cosine_topk(chunks, vectors, bm25.CANDIDATES)
+        near = fuse.cosine_topk(chunks, vectors, bm25.CANDIDATES, n_queries=n_queries)
         lexical = bm25.search(postings, asked, bm25.CANDIDATES)
         return fuse.finish(fuse.rrf([near, lexical]), chunks, top_k, demote_frontmatter).select("query_id", "id", "source", "heading", "type", "score", "raw_score", "rank", "text")
 
     def search(self, text: str, top_k: int = 5, profile: str = "hybrid", demote_frontmatter: bool = False) -> DataFrame:
         """Hits of one query, best first."""
         one = self.spark.createDataFrame([("q", text)], "query_id string, text string")
-        return self.search_many(one, top_k, profile, demote_frontmatter).drop("query_id", "id").orderBy("rank")
+        return self.search_many(one, top_k, profile, demote_frontmatter, 1).drop("query_id", "id").orderBy("rank")
 
     # Health
+    def package(self) -> dict:
+        """What answers: the package's version and place, the embedder, the number of topics."""
+        return {"package_version": __version__, "module_path": str(Path(__file__).resolve().parents[1]), "model_name": self.embedder.name, "topic_count": len(self.glossary), "root": self.root}
+
     def info(self, corpus_dir: str | None = None) -> dict:
         """Generation, manifest, stale (the corpus differs; None without its folder) and whether the embedder matches."""
         generation = self.store.current()
@@ -174,23 +206,24 @@ class Index:
         where = corpus_dir or manifest["corpus"]["source"]
         stale = self.fingerprint(where) != manifest["corpus"]["sha256"] if Path(where).is_dir() else None
         own = manifest["embedding"]
-        return {"generation": generation.name, "manifest": manifest, "stale": stale, "model_matches": (own["model"], own["dimension"]) == (self.embedder.name, self.embedder.dimension)}
+        matches = (own["model"], own["dimension"]) == (self.embedder.name, self.embedder.dimension)
+        return {"generation": generation.name, "manifest": manifest, "stale": stale, "model_matches": matches, **self.package()}
 
     def doctor(self, corpus_dir: str | None = None) -> dict:
         try:
             found = self.info(corpus_dir)
         except IndexProblem as e:
-            return {"ok": False, "ready": False, "error": e.as_dict()}
+            return {"ok": False, "ready": False, "error": e.as_dict(), **self.package()}
         return {"ok": found["model_matches"] and found["stale"] is False, "ready": True, **found}
 
 
-def format_results(hits: Iterable) -> str:
-    """Hits as numbered text with the first 200 characters."""
-    out = []
-    for i, h in enumerate(hits, 1):
-        text = h["text"].replace("\n", " ")
-        out.append(f"[{i}] {h['source']} › {h['heading']} (匹配度: {h['score'] * 100:.1f}%)\n{text[:200]}{'...' if len(text) > 200 else ''}")
-    return "\n\n".join(out) if out else "No results."
+def format_results(hits: Iterable, query: str = "") -> str:
+    """A headline with the query, then hits as numbered text with the first 200 characters."""
+    blocks = []
+    for number, hit in enumerate(hits, 1):
+        start = hit["text"][:200].replace("\n", " ")
+        blocks.append(f"[{number}] {hit['source']} › {hit['heading']} (匹配度: {hit['score']:.1%})\n    {start}...\n")
+    return "\n".join([f"{HEADLINE}{query}", "", *blocks]) if blocks else NOTHING_FOUND
 
 
-__all__ = ["Embedder", "HashingEmbedder", "Index", "format_results"]
+__all__ = ["BatchEmbedder", "Embedder", "HashingEmbedder", "Index", "format_results"]

@@ -1,20 +1,21 @@
-"""Index snapshots: generations, an atomically replaced pointer, locks, retention and sweeping. Small driver-side steps on a
+"""Index snapshots: states, an atomically replaced name of the active one, locks, retention and sweeping. Small driver-side steps on a
 shared file system; the tables themselves are written by Spark before the pointer moves."""
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import shutil
+import threading
 import time
 import uuid
 from contextlib import contextmanager
-from datetime import datetime, timezone
 from pathlib import Path
 
 SCHEMA_VERSION = 2
-POINTER, LOCK, BUILDING, FAILED, MANIFEST = "CURRENT", ".build.lock", "BUILDING", "FAILED", "manifest.json"
+#: Names in the index folder: the file that names the active snapshot, the lock, and in a snapshot its state and manifest.
+ACTIVE, LOCK, STATE, MANIFEST = "active", "lock", "state", "manifest.json"
+BUILDING, COMPLETE, FAILED = "building", "complete", "failed"
 
 
 class IndexProblem(RuntimeError):
@@ -56,89 +57,104 @@ def require_ascii(path: str | Path) -> None:
 
 
 class Store:
+    """Snapshots below root/snapshots, each with a state; root/active names the one that is searched."""
+
     def __init__(self, root: str | Path):
         self.root = Path(root)
-        self.generations = self.root / "generations"
+        self.snapshots = self.root / "snapshots"
+
+    def _states(self) -> dict[str, str]:
+        """State of every snapshot by its name; names are in order of time."""
+        found = sorted(self.snapshots.iterdir()) if self.snapshots.is_dir() else []
+        return {p.name: (p / STATE).read_text() if (p / STATE).is_file() else FAILED for p in found}
+
+    def _replace(self, path: Path, text: str) -> None:
+        part = path.with_name(f"{path.name}.{uuid.uuid4().hex}")
+        part.write_text(text, encoding="utf-8")
+        os.replace(part, path)
 
-    # Generations
     def create(self) -> Path:
-        stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
-        path = self.generations / f"gen-{stamp}-{uuid.uuid4().hex[:8]}"
+        path = self.snapshots / f"{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"
         path.mkdir(parents=True)
-        (path / BUILDING).touch()
+        self._replace(path / STATE, BUILDING)
         return path
 
     def current(self) -> Path:
-        """The active generation."""
-        pointer = self.root / POINTER
-        if not pointer.exists():
-            others = [p for p in self.root.iterdir() if p.name not in (LOCK, "generations")] if self.root.exists() else []
-            raise SchemaMismatch(f"{self.root} holds something else") if others else IndexNotFound(f"no index in {self.root}")
-        name = pointer.read_text().strip()
-        if not re.fullmatch(r"[\w.-]+", name) or name in (".", ".."):
-            raise IndexCorrupt(f"the pointer names no generation: {name!r}")
-        path = self.generations / name
-        if not path.is_dir() or (path / BUILDING).exists() or (path / FAILED).exists():
-            raise IndexCorrupt(f"generation {name} is not complete")
+        """The active snapshot, complete and of this schema."""
+        try:
+            name = (self.root / ACTIVE).read_text(encoding="utf-8")
+        except OSError:
+            if self.root.is_dir() and any(p.name not in (LOCK, self.snapshots.name) for p in self.root.iterdir()):
+                raise SchemaMismatch(f"{self.root} holds something else") from None
+            raise IndexNotFound(f"no index in {self.root}") from None
+        if self._states().get(name) != COMPLETE:
+            raise IndexCorrupt(f"{name!r} is no complete snapshot")
+        path = self.snapshots / name
         if self.manifest(path).get("schema_version") != SCHEMA_VERSION:
-            raise SchemaMismatch(f"generation {name} has another schema")
+            raise SchemaMismatch(f"snapshot {name} has another schema")
         return path
 
-    def manifest(self, generation: Path) -> dict:
+    def manifest(self, snapshot: Path) -> dict:
         try:
-            return json.loads((generation / MANIFEST).read_text(encoding="utf-8"))
+            return json.loads((snapshot / MANIFEST).read_text(encoding="utf-8"))
         except (OSError, ValueError) as e:
-            raise SchemaMismatch(f"the manifest of {generation.name} can't be read") from e
+            raise SchemaMismatch(f"the manifest of {snapshot.name} can't be read") from e
 
-    def write_manifest(self, generation: Path, manifest: dict) -> None:
-        (generation / MANIFEST).write_text(json.dumps(manifest, ensure_ascii=False, indent=2), encoding="utf-8")
+    def write_manifest(self, snapshot: Path, manifest: dict) -> None:
+        self._replace(snapshot / MANIFEST, json.dumps(manifest, ensure_ascii=False, indent=1))
 
-    def activate(self, generation: Path) -> None:
-        (generation / BUILDING).unlink(missing_ok=True)
-        part = self.root / f".{POINTER}-{uuid.uuid4().hex}"
-        part.write_text(generation.name)
-        os.replace(part, self.root / POINTER)
+    def activate(self, snapshot: Path) -> None:
+        """First the snapshot is complete, then it is named; a reader sees the old one or the new one."""
+        self._replace(snapshot / STATE, COMPLETE)
+        self._replace(self.root / ACTIVE, snapshot.name)
+
+    def _remove(self, names: list[str]) -> list[str]:
+        for name in names:
+            shutil.rmtree(self.snapshots / name, ignore_errors=True)
+        return names
 
     def retain(self, keep: int = 2) -> list[str]:
-        """Removes complete generations but the active one and the newest others; returns the removed names."""
+        """Removes all complete snapshots but the active one and, of the others, the newest keep - 1; returns what went."""
         active = self.current().name
-        done = sorted((p.name for p in self.generations.iterdir() if p.is_dir() and not (p / BUILDING).exists() and not (p / FAILED).exists()), reverse=True)
-        gone = [n for n in done if n != active][max(0, keep - 1) :]
-        for n in gone:
-            shutil.rmtree(self.generations / n, ignore_errors=True)
-        return gone
+        others = [name for name, state in self._states().items() if state == COMPLETE and name != active]
+        return self._remove(others[: max(0, len(others) - max(0, keep - 1))])
 
-    def discard(self, generation: Path) -> None:
-        (generation / FAILED).touch()
-        shutil.rmtree(generation, ignore_errors=True)
+    def discard(self, snapshot: Path) -> None:
+        self._replace(snapshot / STATE, FAILED)
+        self._remove([snapshot.name])
 
     def sweep(self, hours: float = 24) -> list[str]:
-        """Removes generations that carry a marker and are older than that."""
-        gone = []
-        for p in self.generations.glob("gen-*") if self.generations.exists() else ():
-            marks = [p / m for m in (BUILDING, FAILED) if (p / m).exists()]
-            if marks and time.time() - max(m.stat().st_mtime for m in marks) > hours * 3600:
-                shutil.rmtree(p, ignore_errors=True)
-                gone.append(p.name)
-        return gone
+        """Removes snapshots that never got complete and whose state is older than that."""
+        old = lambda name: time.time() - (self.snapshots / name / STATE).stat().st_mtime > hours * 3600
+        return self._remove([name for name, state in self._states().items() if state != COMPLETE and ((self.snapshots / name / STATE).is_file() is False or old(name))])
 
     @contextmanager
     def lock(self, stale_s: float = 3600):
-        """One build at a time; a lock that is older than stale_s is replaced, a fresh foreign one is left alone."""
+        """One build at a time. The holder keeps touching its lock; one that was not touched for stale_s is replaced."""
         self.root.mkdir(parents=True, exist_ok=True)
-        path = self.root / LOCK
-        own = f"{os.getpid()}-{uuid.uuid4().hex}"
-        for attempt in range(2):
+        path, own = self.root / LOCK, uuid.uuid4().hex
+        for attempt in (0, 1):
             try:
-                with os.fdopen(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                with open(path, "x") as f:
                     f.write(own)
                 break
             except FileExistsError:
                 if attempt or time.time() - path.stat().st_mtime <= stale_s:
                     raise IndexProblem("another build is running") from None
                 path.unlink(missing_ok=True)
+        done = threading.Event()
+
+        def touch():
+            while not done.wait(stale_s / 10):
+                if path.is_file() and path.read_text() == own:
+                    os.utime(path)
+
+        keeper = threading.Thread(target=touch, daemon=True)
+        keeper.start()
         try:
             yield
         finally:
-            if path.exists() and path.read_text() == own:
+            done.set()
+            keeper.join()
+            if path.is_file() and path.read_text() == own:
                 path.unlink()

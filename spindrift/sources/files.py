@@ -45,8 +45,17 @@ def file_hashes(files: DataFrame) -> DataFrame:
     return files.select("source", "length", F.sha2("content", 256).alias("hash"))
 
 
-def read_glossary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(GLOSSARY).json(path, multiLine=True)
+def fingerprint(hashes: DataFrame) -> DataFrame:
+    """One row, fingerprint: a digest of (source, length, hash) rows in any order.
+
+    Rows are digested in groups by the first four hexadecimal digits of the source's SHA-256, each group in order of its
+    rows' digests, groups then by two digits and at last all: no task or driver sees more than a small share of the files.
+    """
+    rows = hashes.select(F.sha2("source", 256).alias("g"), F.sha2(F.concat_ws("\0", "source", F.col("length").cast("string"), "hash"), 256).alias("d"))
+    for digits in (4, 2, 0):
+        joined = F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256)
+        rows = rows.groupBy(F.substring("g", 1, digits).alias("g")).agg(joined.alias("d")) if digits else rows.agg(joined.alias("fingerprint"))
+    return rows
 
 
 def read_queries(spark: SparkSession, golden: str, labels: str | None = None, natural: str | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def test_build_search_sync_and_failures(spark, tmp_path):
     assert len({(h.source, h.heading) for h in hits}) == len(hits)
     assert index.search("声音").first().source == "ue-audio/SKILL.md"
     assert index.search("walking", profile="vector", top_k=2).count() == 2 and index.search("walking", top_k=0).count() == 0
-    assert "匹配度" in format_results(hits) and format_results([]) == "No results."
+    assert "匹配度" in format_results(hits) and format_results([]) == "没有找到相关结果。"
     with pytest.raises(ValueError):
         index.search("x", profile="other")
     with pytest.raises(IndexProblem):
@@ -83,11 +83,11 @@ def test_store_lifecycle(tmp_path):
     with store.lock():
         with pytest.raises(IndexProblem), store.lock():
             pass
-        assert (store.root / ".build.lock").exists()
-        os.utime(store.root / ".build.lock", (0, 0))
+        assert (store.root / "lock").exists()
+        os.utime(store.root / "lock", (0, 0))
         with store.lock():
             pass
-    assert not (store.root / ".build.lock").exists()
+    assert not (store.root / "lock").exists()
     with pytest.raises(InvalidPath):
         require_ascii("/tmp/索引")
 

@@ -5,7 +5,7 @@ import pytest
 
 from spindrift.__main__ import main
 from spindrift.plans.index import Index
-from spindrift.plans.server import Server
+from spindrift.plans.server import Server, smoke
 
 
 @pytest.fixture(scope="module")
@@ -32,17 +32,29 @@ def test_methods_and_errors(built):
     assert len(server.seen) == 1
     assert ask(server, "tools/call", {"name": "search", "arguments": {"query": "x", "profile": "other"}})["result"]["isError"]
     assert json.loads(ask(server, "tools/call", {"name": "info"})["result"]["content"][0]["text"])["stale"] is False
-    assert ask(server, "tools/call", {"name": "glossary", "arguments": {"topic": "no"}})["error"]["code"] == -32602
-    assert ask(server, "tools/call", {"name": "other"})["error"]["code"] == -32602 and ask(server, "other")["error"]["code"] == -32601
-    assert ask(server, "resources/list")["result"]["resources"][0]["uri"] == "ue-kb://topic/ue-audio"
-    assert "attenuation" in ask(server, "resources/read", {"uri": "ue-kb://topic/ue-audio"})["result"]["contents"][0]["text"]
-    assert ask(server, "resources/read", {"uri": "ue-kb://topic/../x"})["error"]["code"] == -32602
+    assert ask(server, "tools/call", {"name": "glossary", "arguments": {"topic": "no"}})["result"]["isError"]
+    assert ask(server, "tools/call", {"name": "other"})["result"]["isError"] and ask(server, "other")["error"]["code"] == -32601
+    assert ask(server, "tools/call", {"name": "list_topics"})["result"]["structuredContent"] == [{"topic": "ue-audio", "canonical": "audio", "aliases": ["声音"]}]
+    assert ask(server, "resources/list")["result"]["resources"][0]["uri"] == "spindrift://topic/ue-audio"
+    assert "attenuation" in ask(server, "resources/read", {"uri": "spindrift://topic/ue-audio"})["result"]["contents"][0]["text"]
+    assert ask(server, "resources/read", {"uri": "spindrift://topic/../x"})["error"]["code"] == -32602
     out = io.StringIO()
     server.serve(["not json\n", "\n", "[1]\n", '{"method": "ping"}\n', '{"id": 7, "method": "ping"}\n'], out)
     lines = [json.loads(x) for x in out.getvalue().splitlines()]
     assert lines[0]["error"]["code"] == -32700 and lines[1]["id"] == 7 and len(lines) == 2
 
 
+def test_a_missing_index_ends_no_session(spark, tmp_path):
+    glossary = [{"topic": "t", "canonical": "t", "aliases": [], "identifiers": []}]
+    server = Server(Index(spark, str(tmp_path / "none"), glossary=glossary))
+    assert ask(server, "resources/read", {"uri": "spindrift://topic/t"})["error"]["data"]["code"] == "INDEX_NOT_FOUND"
+    assert ask(server, "tools/call", {"name": "info"})["result"]["isError"] and ask(server, "ping")["result"] == {}
+
+
+def test_smoke(built):
+    assert smoke(built[1], "music")["ok"] and not smoke(Index(built[1].spark, str(built[0] / "nowhere")))["ok"]
+
+
 def test_command_line(built, capsys, tmp_path):
     root, _ = built
     assert main(["query", "music", "--index", str(root / "index"), "--json"]) == 0
