@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import tempfile
 from itertools import chain
 
 import duckdb
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import local_dir, table, text_of
 
 #: From start(g, t), a row for each byte of each word, to the rows of its tokens; g is the word's number << 8 and the byte's
 #: place, so it orders all rows. A step joins each row and its right neighbour u with merges, finds each word's pair of
@@ -114,7 +113,7 @@ class Bpe:
         self.words = regex.compile(pattern).findall
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.word_ids, self.piece_ids = IdTable(most_words), IdTable(most_pieces)
-        self.db = duckdb.connect(config={"memory_limit": memory, "threads": 1, "temp_directory": tempfile.mkdtemp(prefix="bpe-")})
+        self.db = duckdb.connect(config={"memory_limit": memory, "threads": 1, "temp_directory": local_dir("bpe-")})
         rows = [
             (self.ranks[t[:k]], self.ranks[t[k:]], i)
             for t, i in self.ranks.items()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,7 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/spindrift/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/spindrift/{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+@atexit.register
+def clear_scratch() -> None:
+    """Deletes the folders that this driver has made, at its end or when its results are written: lazy results read them."""
+    while _SCRATCH:
+        try:
+            fs, path = filesystem(_SCRATCH.pop())
+            fs.delete_dir(path)
+        except OSError:
+            pass  # never written, or gone with its store
+
+
+def local_dir(prefix: str) -> str:
+    """A folder of this worker process alone, deleted at its end."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
@@ -137,7 +162,7 @@ def map_file(uri: str, dtype=np.uint8) -> np.ndarray:
     if uri not in _MAPPED:
         fs, path = filesystem(uri)
         if fs.type_name != "local":
-            local = os.path.join(tempfile.mkdtemp(prefix="spindrift-map-"), os.path.basename(path))
+            local = os.path.join(local_dir("spindrift-map-"), os.path.basename(path))
             with fs.open_input_stream(path) as src, open(local, "wb") as dst:
                 while chunk := src.read(1 << 22):
                     dst.write(chunk)

@@ -48,7 +48,8 @@ class Tokens:
         #: Behind a token of white space or punctuation alone, and behind a line feed or tab, a new word starts.
         self.parts = np.array([s[-1:] in ("Ċ", "ĉ") for s in strings]) | ~word
         #: A word's hash adds its tokens' hashes by place; punctuation adds nothing.
-        self.hash = np.where(word, mix(np.arange(1, size + 1, dtype=np.uint64)), np.uint64(0))
+        plain = np.array([self.tokenizer.token_to_id(s[1:]) if s.startswith("Ġ") and self.tokenizer.token_to_id(s[1:]) is not None else i for i, s in enumerate(strings)], np.uint64)
+        self.hash = np.where(word, mix(plain + np.uint64(1)), np.uint64(0))  # with and without a space before it alike
         with np.errstate(over="ignore"):
             self.power = np.cumprod(np.full(64, M1, np.uint64), dtype=np.uint64)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
