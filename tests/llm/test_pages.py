@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 from spindrift.llm import html_extract, media, url_filter
 
@@ -88,6 +89,8 @@ def test_media_round_trip(spark):
     for r in got:
         raw = next(b for i, b in texts if i == r.doc_id and len(b) == r.n_bytes)
         payload = media.pad_payload(raw)
+        assert r.tail_crc32 == zlib.crc32(payload[-16:]) and len(payload) % 192 == 0 and payload == raw.ljust(len(payload), b" ") and len(payload) - len(raw) <= 192
+        assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest() and r.feature
         audio = media.read_audio(bytes(r.media))
         assert r.payload_bytes == len(payload) and r.payload_sha256 == hashlib.sha256(payload).hexdigest()
         assert media.read_payload(bytes(r.media), audio) == payload and r.crc_bad == 0 and r.crc_ok == len(payload) // 192 + 1
