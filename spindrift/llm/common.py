@@ -112,6 +112,14 @@ def by_bytes(batch, column: str, budget: int):
         yield batch.slice(lo)
 
 
+def runs_of(values: np.ndarray):
+    """(value, begin, end) of each run of equal values in a sorted array."""
+    cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+    bounds = [0, *cuts.tolist(), len(values)] if len(values) else [0]
+    for lo, hi in zip(bounds, bounds[1:]):
+        yield int(values[lo]), lo, hi
+
+
 def write_file(uri: str, data: bytes) -> None:
     """Writes a file of the shared folder from a task or the driver, under a temporary name first, so retries are safe."""
     fs, path = filesystem(uri)

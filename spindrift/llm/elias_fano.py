@@ -18,11 +18,13 @@ for _b in range(256):
 
 
 class EliasFano:
-    """Fields: n, l, low (packed uint64), high (uint8), ones (ones before each block of high)."""
+    """Fields: n, l, low (packed uint64), high (uint8), ones and zeros (how many there are before each block of high).
 
-    def __init__(self, n: int, l: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.l, self.low, self.high, self.ones = n, l, low, high, ones
-        self.zeros = (np.arange(len(ones), dtype=np.int64) * (BLOCK * 8) - ones.astype(np.int64)).astype(np.uint64)
+    All of them may be views into a mapped file, so a sequence that is only looked up takes no memory of its own.
+    """
+
+    def __init__(self, n: int, l: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.l, self.low, self.high, self.ones, self.zeros = n, l, low, high, ones, zeros
 
     @classmethod
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -46,7 +48,9 @@ class EliasFano:
         high[top + np.arange(n)] = True
         high = np.packbits(high, bitorder="little")
         per = ONES[high].reshape(blocks, BLOCK).sum(axis=1, dtype=np.int64)
-        return cls(n, l, low, high, np.concatenate([[0], np.cumsum(per)[:-1]]).astype(np.uint32 if n < 1 << 32 else np.uint64))
+        ones = np.concatenate([[0], np.cumsum(per)[:-1]])
+        kind = np.uint32 if blocks * BLOCK * 8 < 1 << 32 else np.uint64
+        return cls(n, l, low, high, ones.astype(kind), (np.arange(blocks) * (BLOCK * 8) - ones).astype(kind))
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -103,12 +107,12 @@ class EliasFano:
         return lo, same
 
     def parts(self) -> dict[str, np.ndarray]:
-        return {"head": np.array([self.n, self.l], np.int64), "low": self.low, "high": self.high, "ones": self.ones}
+        return {"head": np.array([self.n, self.l], np.int64), "low": self.low, "high": self.high, "ones": self.ones, "zeros": self.zeros}
 
     @classmethod
     def of_parts(cls, parts: dict[str, np.ndarray]) -> EliasFano:
         n, l = parts["head"].tolist()
-        return cls(n, l, parts["low"], parts["high"], parts["ones"])
+        return cls(n, l, parts["low"], parts["high"], parts["ones"], parts["zeros"])
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, broadcast_if_small, materialize, table, text_of, without
+from .common import ASCII_LOWER, broadcast_if_small, materialize, runs_of, table, text_of, without
 
 BITS_PER_KEY, PROBES = 12, 4
 
@@ -148,9 +148,9 @@ def exact_duplicates(
         def runs(keys, ids):
             run = memtable_run(np.array(keys, f"S{width}"), np.concatenate(ids), largest)
             head = run.keys.astype("S4").view(">u4").astype(np.int64) * shards >> 32
-            for s in np.unique(head).tolist():
-                own = head == s
-                bloom = Bloom(int(own.sum()))
+            for s, lo, hi in runs_of(head):
+                own = slice(lo, hi)
+                bloom = Bloom(hi - lo)
                 bloom.add(run.keys[own])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (run.keys[own], run.ids[own], run.counts[own], bloom.bits))],

@@ -1,10 +1,11 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 The model is an interpolated bigram model with three discounts over words and document ends, learnt from all training
-documents. Its trie has two levels in shards of memory-mapped files. The first holds the sorted word hashes, whose ranks
-are the word ids, exact counts, quantised interpolation weights and monotone pointers to the children. The second holds
-each word's successors: an id is stored relative to its context (context * V + id, which makes the level one monotone
-sequence) and found by successor search within the context's pointers; its discounted probability is quantised to 8 bits.
+documents. Its trie has two levels in shards of memory-mapped files. The first holds the sorted word hashes, exact counts,
+quantised interpolation weights and monotone pointers to the children; a word's id is its rank in its shard behind the
+shard's number, so no list of shards travels to the driver or with the tasks. The second holds each word's successors: an
+id is stored relative to its context (context * ids + id, which makes the level one monotone sequence) and found by
+successor search within the context's pointers; its discounted probability is quantised to 8 bits.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, by_bytes, delete_file, exists, map_file, resident, shared_dir, table, text_bytes, text_of, write_file
+from .common import ASCII_LOWER, by_bytes, delete_file, exists, map_file, resident, runs_of, shared_dir, table, text_bytes, text_of, write_file
 from .elias_fano import EliasFano, of_prefix, pack, prefixed, unpack
 
 #: Stands for the end of a document, and for the context of its first word; no word holds a line feed.
@@ -91,12 +92,11 @@ def quantised(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Model:
-    """Reads the trie below `root`. spans: first word id of every shard and the number of words at last."""
+    """Reads the trie below `root`: v words in shards with room for `width` ids each, n training tokens."""
 
-    def __init__(self, root: str, shards: int, spans: list[int], n: int, cache_words: int = 700_000):
-        self.root, self.shards, self.spans, self.n = root, shards, np.array(spans, np.int64), n
-        self.v = int(self.spans[-1])
-        self.open: dict[str, dict] = {}
+    def __init__(self, root: str, shards: int, width: int, v: int, n: int, cache_words: int = 700_000):
+        self.root, self.shards, self.width, self.v, self.n = root, shards, width, v, n
+        self.open: dict[str, dict | None] = {}
         self.cache_words = cache_words
         self._clear()
 
@@ -104,14 +104,18 @@ class Model:
         self.slots: dict[bytes, int] = {}
         self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def level(self, kind: str, shard: int) -> dict:
+    def level(self, kind: str, shard: int) -> dict | None:
+        """A shard's arrays and sequences; None if no word fell into it."""
         name = f"{kind}-{shard}"
         if name not in self.open:
-            arrays = unpack(map_file(f"{self.root}/{name}.bin"))
-            found = {"arrays": arrays}
-            for sequence in ("key", "ptr", "kid"):
-                if f"{sequence}.head" in arrays:
-                    found[sequence] = EliasFano.of_parts(of_prefix(sequence, arrays))
+            uri = f"{self.root}/{name}.bin"
+            found = None
+            if exists(uri):
+                arrays = unpack(map_file(uri))
+                found = {"arrays": arrays}
+                for sequence in ("key", "ptr", "kid"):
+                    if f"{sequence}.head" in arrays:
+                        found[sequence] = EliasFano.of_parts(of_prefix(sequence, arrays))
             self.open[name] = found
         return self.open[name]
 
@@ -119,14 +123,12 @@ class Model:
         h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         order = np.argsort(h)
-        cuts = np.searchsorted(shard_of(h[order], self.shards), np.arange(self.shards + 1))
-        for s in range(self.shards):
-            own = order[cuts[s] : cuts[s + 1]]
-            if len(own) and self.spans[s + 1] > self.spans[s]:
-                level = self.level("words", s)
+        for s, lo, hi in runs_of(shard_of(h[order], self.shards)):
+            own, level = order[lo:hi], self.level("words", s)
+            if level:
                 at, same = level["key"].successor(h[own] - np.uint64(first_hash(s, self.shards)))
                 hit, at = own[same], at[same]
-                ids[hit] = self.spans[s] + at
+                ids[hit] = s * self.width + at
                 counts[hit] = level["arrays"]["count.table"][level["arrays"]["count.code"][at]]
         return ids, counts
 
@@ -148,14 +150,10 @@ class Model:
         key, back = np.unique(ctx.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), return_inverse=True)
         own, wanted = (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
         prob, weight = np.zeros(len(key)), np.ones(len(key))
-        cuts = np.searchsorted(own, self.spans)
-        for s in range(self.shards):
-            lo, hi = cuts[s], cuts[s + 1]
-            if lo == hi:
-                continue
+        for s, lo, hi in runs_of(own // max(1, self.width)):
             level = self.level("pairs", s)
-            local = own[lo:hi] - self.spans[s]
-            at, same = level["kid"].successor(local.astype(np.uint64) * np.uint64(self.v) + wanted[lo:hi])
+            local = own[lo:hi] - s * self.width
+            at, same = level["kid"].successor(local.astype(np.uint64) * np.uint64(self.shards * self.width) + wanted[lo:hi])
             there, where = np.unique(local, return_inverse=True)
             begin, end = level["ptr"].access(there)[where], level["ptr"].access(there + 1)[where]
             same &= (at >= begin.astype(np.int64)) & (at < end.astype(np.int64))
@@ -187,12 +185,12 @@ class Model:
         return sizes, np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(np.log10(low), starts), np.add.reduceat(np.log10(p), starts)
 
     def weights(self, ctx: np.ndarray) -> np.ndarray:
-        shard = np.searchsorted(self.spans, ctx, "right") - 1
+        """Weights of the lower order behind known words."""
         out = np.ones(len(ctx))
-        for s in np.unique(shard).tolist():
+        order = np.argsort(ctx)
+        for s, lo, hi in runs_of(ctx[order] // max(1, self.width)):
             a = self.level("pairs", s)["arrays"]
-            own = shard == s
-            out[own] = a["weight.table"][a["weight.code"][ctx[own] - self.spans[s]]]
+            out[order[lo:hi]] = a["weight.table"][a["weight.code"][ctx[order[lo:hi]] - s * self.width]]
         return out
 
 
@@ -246,8 +244,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
 
     def word_cut(keys):
-        cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-        return [(s, cuts[s], cuts[s + 1]) for s in range(shards) if cuts[s] < cuts[s + 1]]
+        return runs_of(shard_of(keys, shards))
 
     def write_words(pdf):
         s = int(pdf["shard"].iloc[0])
@@ -257,13 +254,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         write_file(f"{root}/words-{s}.bin", pack({**prefixed("key", sequence.parts()), **prefixed("count", coded(counts))}))
         return pd.DataFrame({"shard": [s], "v": [len(keys)], "n": [int(counts.sum())]})
 
-    found = _counted(docs, id_col, text_col, words, word_cut).groupBy("shard").applyInPandas(write_words, "shard int, v long, n long").collect()  # a row for each shard
-    sizes = {r.shard: r.v for r in found}
-    spans = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(shards)])]).astype(int).tolist()
-    n, v = sum(r.n for r in found), spans[-1]
-    if v >= 1 << 32:
+    found = _counted(docs, id_col, text_col, words, word_cut).groupBy("shard").applyInPandas(write_words, "shard int, v long, n long")
+    v, n, width = (x or 0 for x in found.agg(F.sum("v"), F.sum("n"), F.max("v")).first())
+    if shards * width >= 1 << 32:
         raise ValueError("word ids need more than 32 bits")
-    args = (root, shards, spans, n)
+    args = (root, shards, width, v, n)
 
     def pairs(texts):
         m = model(*args)
@@ -273,15 +268,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         return ctx.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
 
     def pair_cut(keys):
-        cuts = np.searchsorted((keys >> np.uint64(32)).astype(np.int64), np.array(spans))
-        return [(s, cuts[s], cuts[s + 1]) for s in range(shards) if cuts[s] < cuts[s + 1]]
+        return runs_of((keys >> np.uint64(32)).astype(np.int64) // max(1, width))
 
     def write_pairs(pdf):
         s = int(pdf["shard"].iloc[0])
         keys, counts = _merged(pdf)
-        own = spans[s + 1] - spans[s]
-        ctx = (keys >> np.uint64(32)).astype(np.int64) - spans[s]
-        kid = EliasFano.encode(ctx.astype(np.uint64) * np.uint64(v) + (keys & np.uint64(0xFFFFFFFF)), own * v)
+        ctx = (keys >> np.uint64(32)).astype(np.int64) - s * width
+        ids, own = shards * width, int(ctx[-1]) + 1  # every word is followed by another or the end
+        kid = EliasFano.encode(ctx.astype(np.uint64) * np.uint64(ids) + (keys & np.uint64(0xFFFFFFFF)), own * ids)
         ptr = np.searchsorted(ctx, np.arange(own + 1)).astype(np.uint64)
         pointers = EliasFano.encode(ptr, len(keys) + 1)
         write_file(f"{root}/counted-{s}.bin", pack({**prefixed("kid", kid.parts()), **prefixed("ptr", pointers.parts()), **prefixed("count", coded(counts))}))
@@ -289,17 +283,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         return pd.DataFrame({"shard": [s], **{f"n{i}": [int(seen[i])] for i in (1, 2, 3, 4)}})
 
     grouped = _counted(docs, id_col, text_col, pairs, pair_cut).groupBy("shard").applyInPandas(write_pairs, "shard int, n1 long, n2 long, n3 long, n4 long")
-    stats = grouped.collect()  # a row for each shard
-    discounts = discounts_of(*(sum(r[f"n{i}"] for r in stats) for i in (1, 2, 3, 4)))
+    discounts = discounts_of(*(x or 0 for x in grouped.agg(*(F.sum(f"n{i}") for i in (1, 2, 3, 4))).first()))
 
     def finish(batches):
         for pdf in batches:
             for s in pdf["id"].tolist():
-                if sizes.get(s) and not exists(f"{root}/pairs-{s}.bin"):  # else a former attempt has done it
+                # Else a former attempt has done it, or the shard has no words.
+                if not exists(f"{root}/pairs-{s}.bin") and exists(f"{root}/counted-{s}.bin"):
                     quantise(f"{root}/counted-{s}.bin", f"{root}/pairs-{s}.bin", discounts)
             yield pdf
 
-    spark.range(0, shards, 1, shards).mapInPandas(finish, "id long").write.format("noop").mode("overwrite").save()
+    spark.range(0, shards, 1, min(shards, 10_000)).mapInPandas(finish, "id long").write.format("noop").mode("overwrite").save()
     return args
 
 
@@ -332,7 +326,7 @@ def score_texts(docs: DataFrame, args: tuple, id_col: str = "doc_id", text_col:
     Map-only; null counts as the empty text, which is its end alone. Null ids and repeated rows are kept row by row.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    n = args[3]
+    n = args[-1]
 
     def run(batches):
         m = model(*args)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_file, materialize, resident, shared_dir, table, text_of, write_file
+from .common import by_bytes, map_file, materialize, resident, runs_of, shared_dir, table, text_of, write_file
 from .elias_fano import pack, unpack
 from .lm_score import Counter, shard_of, summed
 from .near_dedup import M1, mix
@@ -166,10 +166,9 @@ def _document_frequencies(counted: DataFrame, shards: int) -> str:
         for b in batches:
             for keys, counts in zip(b.column("ids").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 k, c = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)
-                ends = np.searchsorted(shard_of(k, shards), np.arange(shards + 1))
-                own = [s for s in range(shards) if ends[s] < ends[s + 1]]
+                own = list(runs_of(shard_of(k, shards)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int32()), *(pa.array([x[ends[s] : ends[s + 1]].tobytes() for s in own], pa.binary()) for x in (k, c))],
+                    [pa.array([s for s, _, _ in own], pa.int32()), *(pa.array([x[lo:hi].tobytes() for _, lo, hi in own], pa.binary()) for x in (k, c))],
                     names=["shard", "keys", "counts"],
                 )
 
@@ -338,14 +337,11 @@ def pack_documents(
 
         def df_of(words: np.ndarray) -> np.ndarray:
             out = np.ones(len(words), np.int64)
-            cuts = np.searchsorted(shard_of(words, shards), np.arange(shards + 1))
-            for s in range(shards):
-                if cuts[s] < cuts[s + 1]:
-                    a = unpack(map_file(f"{root}/df-{s}.bin"))
-                    own = words[cuts[s] : cuts[s + 1]]
-                    if len(a["keys"]):
-                        at = np.minimum(np.searchsorted(a["keys"], own), len(a["keys"]) - 1)
-                        out[cuts[s] : cuts[s + 1]] = np.where(a["keys"][at] == own, a["counts"][at], 1)
+            for s, lo, hi in runs_of(shard_of(words, shards)):
+                a = unpack(map_file(f"{root}/df-{s}.bin"))
+                if len(a["keys"]):
+                    at = np.minimum(np.searchsorted(a["keys"], words[lo:hi]), len(a["keys"]) - 1)
+                    out[lo:hi] = np.where(a["keys"][at] == words[lo:hi], a["counts"][at], 1)
             return out
 
         def batch(found: list[tuple]) -> pa.RecordBatch:
