@@ -6,8 +6,6 @@ these and the text; every seventh counts as front matter. Vectors belong to the
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.vectors import hash_embedding, hash_embedding_entries
 from .operators import bm25, chunk, diff, evaluate, fuse, ingest
+from .plans.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,10 +57,9 @@ def corpus(spark: SparkSession, sf_dir: str, topic: bool = False) -> DataFrame:
     return bm25.topic_text(F.col("source"), glossary, rows) if topic else rows
 
 
-def scratch(spark: SparkSession) -> Path:
-    """A new folder that driver and executors see: below spark.checkpoint.dir, if that is set."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:")
-    path = Path(root) / f"spindrift-{uuid.uuid4().hex}"
+def folder(spark: SparkSession) -> Path:
+    """A new scratch folder, as a path of a mounted store."""
+    path = Path(scratch(spark).removeprefix("file://").removeprefix("file:"))
     path.mkdir(parents=True)
     return path
 
@@ -73,7 +71,7 @@ def saved(spark: SparkSession, sf_dir: str) -> bm25.Postings:
     """The postings of the corpus view, written once for each session; searches read them."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _SAVED:
-        _SAVED[key] = bm25.save_postings(corpus(spark, sf_dir, topic=True), str(scratch(spark)))
+        _SAVED[key] = bm25.save_postings(corpus(spark, sf_dir, topic=True), scratch(spark))
     return _SAVED[key]
 
 
@@ -533,4 +531,4 @@ def gates(spark, sf_dir):
     return evaluate.gates(metrics, {"recall": (">=", 0.8), "mrr": (">=", 0.5)}).select("gate", F.round("value", 6).alias("value"), "passed")
 
 
-from . import catalogue_inputs  # noqa: E402,F401  registers its queries here
+from . import catalogue_indexes, catalogue_inputs  # noqa: E402,F401  register their queries here

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _GLOSSARY_SQL, EXPANDED, GLOSSARY, MANY, ORACLE_SQL, TOKEN_RE, _norm, _terms, _values, asked, page_markdown, query, read, scratch
+from .catalogue import _GLOSSARY_SQL, EXPANDED, GLOSSARY, MANY, ORACLE_SQL, TOKEN_RE, _norm, _terms, _values, asked, folder, page_markdown, query, read
 from .functions import text as T
 from .operators import chunk, diff, evaluate, expand, fuse, ingest
 from .plans.index import BatchEmbedder, HashingEmbedder, Index, format_results
@@ -36,7 +36,7 @@ def values(rows: list[tuple], columns: str) -> str:
 
 
 def written(spark: SparkSession, given: dict[str, str]) -> str:
-    root = scratch(spark)
+    root = folder(spark)
     for name, text in given.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(text.encode())
@@ -407,7 +407,7 @@ def built(spark: SparkSession, sf_dir: str) -> Index:
     """The index of a documents table, built once for each session."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _BUILT:
-        index = Index(spark, str(scratch(spark) / "index"), glossary=GLOSSARY)
+        index = Index(spark, str(folder(spark) / "index"), glossary=GLOSSARY)
         docs = doc_sources(spark, sf_dir)
         hashes = docs.select("source", F.octet_length("text").alias("length"), F.sha2("text", 256).alias("hash"))
         index.build_documents(docs, sf_dir, lambda: files.fingerprint(hashes).first().fingerprint, repeats="first")
@@ -520,7 +520,7 @@ def code_of(act) -> str:
 @query("snapshot_lifecycle", values(LIFE, "step int, event varchar, outcome varchar"))
 def snapshot_lifecycle(spark, sf_dir):
     """What an index folder answers in each state (driver-side: a few small files)."""
-    root = scratch(spark)
+    root = folder(spark)
     store = Store(root / "index")
     out = [code_of(lambda: store.current().name)]
     (root / "other").mkdir()
@@ -577,7 +577,7 @@ CALLS = [
 @query("server_answers", values([(n, m, x) for n, (m, _, _, x) in enumerate(CALLS)], "call int, method varchar, answer varchar"))
 def server_answers(spark, sf_dir):
     root = written(spark, TREE)
-    index = Index(spark, str(scratch(spark) / "index"), glossary=[{"topic": "swim", "canonical": "swimming", "aliases": ["游泳"], "identifiers": ["water"]}])
+    index = Index(spark, str(folder(spark) / "index"), glossary=[{"topic": "swim", "canonical": "swimming", "aliases": ["游泳"], "identifiers": ["water"]}])
     index.build(root)
     server, rows = Server(index), []
     for n, (method, params, part, _) in enumerate(CALLS):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_html, normalize, strip_tags, token_count
+from . import patterns
 
 # What the privacy scan and the publisher look for.
 PRIVACY_PATTERNS: tuple[tuple[str, str], ...] = (
@@ -189,6 +190,16 @@ def dictionary_grounding(docs: DataFrame, concepts: DataFrame, text: str = "text
     return concepts.select("concept").distinct().join(seen.withColumn("_s", F.lit(True)), "concept", "left").select("concept", F.coalesce("_s", F.lit(False)).alias("grounded"))
 
 
+def grounded(docs: DataFrame, concepts: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """The same for any number of concepts: automata of the normalised ones are written below a shared folder, and each text
+    passes through each once. A concept of which normalising leaves nothing is in every text."""
+    named = concepts.select("concept").distinct().withColumn("pattern", normalize(F.col("concept")))
+    found = patterns.present(docs.select(normalize(F.col(text)).alias("text")), patterns.build(named, path))
+    some = not docs.filter(F.col(text).isNotNull()).isEmpty()
+    hit = F.coalesce(F.col("_found"), F.lit(False)) | ((F.col("pattern") == "") & F.lit(some))
+    return named.join(found.withColumn("_found", F.lit(True)), "pattern", "left").select("concept", F.coalesce(hit, F.lit(False)).alias("grounded"))
+
+
 def unbalanced_fences(text: Column) -> Column:
     """Whether the lines that open or close code fences leave one open."""
     marks = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*(`{3,}|~{3,})")), lambda x: F.regexp_extract(x, r"^\s*(`{3,}|~{3,})", 1))
