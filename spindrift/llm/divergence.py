@@ -21,14 +21,14 @@ from .common import ASCII_LOWER, by_bytes, materialize, table
 IN_TERM = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 LOWER = np.frombuffer(ASCII_LOWER, np.uint8)
 #: Bytes of text that are tokenized at once; a longer text is a slice of its own.
-SLICE = 16 << 20
+SLICE = 4 << 20
 SCALE = 1_000_000_000
 #: Numbers up to which SCALE times the number fits into 64 bits.
 WIDE = (1 << 63) // SCALE - 1
 #: Terms of a (language, source) that are listed, and kept terms of a shard.
 LISTED, SHARD_ROWS = 200, 200_000
-#: Pairs of entries that are expanded at once.
-PAIRS = 1 << 20
+#: Pairs of entries that are expanded at once, slices whose digests are computed at once.
+PAIRS, HASHED = 1 << 20, 1 << 16
 
 
 def boundaries(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,10 @@ def group_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest=
     Slices of one digest are compared with the first of them byte for byte; where any differs, the group is divided by bytes.
     """
     raw = data.tobytes()
-    hashes = np.fromiter((digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    hashes = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(starts), HASHED):
+        a, b = starts[lo : lo + HASHED].tolist(), ends[lo : lo + HASHED].tolist()
+        hashes[lo : lo + HASHED] = [digest(raw[x:y]) for x, y in zip(a, b, strict=True)]
     _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
     lengths, lead = ends - starts, first[group]
     odd = lengths != lengths[lead]
