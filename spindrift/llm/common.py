@@ -81,10 +81,42 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 64
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name like base that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name, n = base, 0
+    while name.lower() in taken:
+        n += 1
+        name = f"{base}{n}"
+    return name
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its name, which may hold dots and backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def without(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
     """The rows of docs whose id is not in lost (one column of ids), all columns as they were; rows with a null id stay."""
-    gone = materialize(lost.toDF("_gone").filter("_gone is not null").distinct(), "lost")
-    return docs.join(broadcast_if_small(gone, gone.count(), 16), docs[id_col] == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = materialize(lost.toDF(name).filter(F.col(name).isNotNull()).distinct(), "lost")
+    return docs.join(broadcast_if_small(gone, gone.count(), 16), column(docs, id_col) == F.col(name), "left_anti")
+
+
+def row_keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """docs with a number for each row, and the name of this column: the id, where it is one row's alone. Rows that share an id,
+    or have none, get numbers above all ids, and are written once, so that every later reading sees the same numbers."""
+    key, mark = fresh(docs, "_row"), fresh(docs, "_shared")
+    own = column(docs, id_col)
+    shared = materialize(docs.select(own.alias(mark)).groupBy(mark).agg(F.count(F.lit(1)).alias("n")).filter(F.col(mark).isNull() | (F.col("n") > 1)).select(mark), "shared-ids")
+    n = shared.count()
+    if not n:
+        return docs.withColumn(key, own.cast("long")), key
+    small = broadcast_if_small(shared, n, 16)
+    most = docs.agg(F.max(own.cast("long"))).first()[0] or 0
+    alone = docs.join(small, own == F.col(mark), "left_anti").filter(own.isNotNull()).withColumn(key, own.cast("long"))
+    rest = docs.join(small, own.eqNullSafe(F.col(mark)), "left_semi").withColumn(key, F.monotonically_increasing_id() + F.lit(most + 1))
+    return alone.unionByName(materialize(rest, "shared-rows")), key
 
 
 def task_count(spark: SparkSession, units: float, per_task: float) -> int:

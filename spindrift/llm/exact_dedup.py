@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, broadcast_if_small, materialize, runs_of, table, text_of, without
+from .common import ASCII_LOWER, ascii_lower, broadcast_if_small, column, fresh, materialize, runs_of, table, text_of
 
 BITS_PER_KEY, PROBES = 12, 4
 
@@ -207,8 +207,25 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, all columns as they were; rows with a null id_col stay."""
-    return without(docs, exact_duplicates(docs, keep, id_col, text_col).filter(~F.col("kept")).select(id_col), id_col)
+    """One row of each group of equal texts, the one that exact_duplicates keeps; all columns as they were.
+
+    Rows are told apart by id and text, so an id with several texts loses only those that others repeat. Of rows that share
+    both, one stays. Rows without an id are compared among themselves, and one of each text stays: they never go for a row
+    that has an id. Columns of any name are allowed.
+    """
+    gone, sha, many = (fresh(docs, x) for x in ("_gone", "_sha", "_many"))
+    found = exact_duplicates(docs, keep, id_col, text_col).filter("group_size > 1").select(F.col(id_col).alias(gone), F.col("text_sha256").alias(sha), (F.col("kept") | F.col(id_col).isNull()).alias("kept"))
+    marks = materialize(found.groupBy(gone, sha).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias(many)).filter(~F.col("kept") | (F.col(many) > 1)), "lost")
+    n = marks.count()
+    digest = fresh(docs, "_digest")
+    rows = docs.withColumn(digest, F.sha2(ascii_lower(F.coalesce(column(docs, text_col).cast("string"), F.lit(""))), 256))
+
+    def of(part: DataFrame):
+        return broadcast_if_small(part.select(gone, sha), n, 96), column(docs, id_col).eqNullSafe(F.col(gone)) & (F.col(digest) == F.col(sha))
+
+    rest = rows.join(*of(marks), "left_anti").drop(digest)
+    again = rows.join(*of(marks.filter("kept")), "left_semi").dropDuplicates([id_col, digest]).drop(digest)
+    return rest.unionByName(again)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, broadcast_if_small, materialize, resident, table, text_of, without
+from .common import ASCII_LOWER, broadcast_if_small, materialize, resident, row_keyed, table, text_of, without
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Flipping this bit of unsigned values gives signed ones of the same order.
@@ -343,8 +343,14 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_duplicates keeps, all columns as they were; rows with a null id_col stay."""
-    return without(docs, near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(id_col), id_col)
+    """One row of each group that near_duplicates links, the one with the smallest id; all columns as they were.
+
+    Every row is a node of its own: rows that share an id, or have none, are told apart by numbers above all ids, so that none
+    goes for what another one holds. Columns of any name are allowed.
+    """
+    keyed, key = row_keyed(docs, id_col)
+    lost = near_duplicates(keyed, width, percent, id_col=key, text_col=text_col).filter(~F.col("kept")).select(key)
+    return without(keyed, lost, key).drop(key)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
