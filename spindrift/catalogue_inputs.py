@@ -459,12 +459,12 @@ ONE_EXPANDED = _values({"q": "primary feed of the onthe first source FeedZero sr
 @query("index_search", _index_hits(ONE_EXPANDED, "hybrid", 5).replace(f"select query_id, {_norm('text')} as text from {ONE_EXPANDED}", f"select * from {ONE_EXPANDED}"))
 def index_search(spark, sf_dir):
     """One query against the built index, as a client asks it: expanded, hybrid, best first."""
-    return built(spark, sf_dir).search_many(asked(spark, ONE), 5, n_queries=1).drop("text")
+    return built(spark, sf_dir).search_texts(ONE, 5).drop("text")
 
 
 @query("index_search_many", _index_hits(_values(MANY), "hybrid", 10))
 def index_search_many(spark, sf_dir):
-    return built(spark, sf_dir).search_many(asked(spark, MANY), 10).drop("text")
+    return built(spark, sf_dir).search_texts(MANY, 10).drop("text")
 
 
 @query("index_search_benchmark", _index_hits("(select item_id::varchar as query_id, text from benchmark)", "hybrid", 3))

@@ -48,7 +48,15 @@ def hash_embedding_entries(docs: DataFrame, key: str, words: Column, dimension:
 
 
 def hash_embedding(words: Column, dimension: int = 64) -> Column:
-    """Counts of words in buckets by the first byte of their MD5, at unit length. Needs no model."""
+    """Counts of words in buckets by the first byte of their MD5, at unit length. Needs no model.
+
+    The buckets are sorted together with one entry for each place, so that every place has a run: counts are the distances of
+    the runs' starts, found in one pass.
+    """
     places = F.sequence(F.lit(0), F.lit(dimension - 1))
-    count = lambda found: F.transform(places, lambda i: (F.size(found) - F.size(F.array_remove(found, i))).cast("double"))
-    return l2_normalize(bind(F.transform(words, lambda w: bucket_of(w, dimension)), count))
+
+    def count(found: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(found)), lambda i: (i == 0) | (i == F.size(found)) | (F.get(found, i) != F.get(found, i - 1)))
+        return bind(starts, lambda at: F.transform(places, lambda i: (F.get(at, i + 1) - F.get(at, i) - 1).cast("double")))
+
+    return l2_normalize(bind(F.sort_array(F.concat(F.transform(words, lambda w: bucket_of(w, dimension)), places)), count))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.local import local
 from ..functions.text import terms, topic_of
 
 # Fixed values of the scoring.
@@ -60,18 +63,21 @@ def _postings(chunks: DataFrame, freq: DataFrame) -> Postings:
 
 
 TABLES = ("postings", "stats", "corpus", "terms")
+#: Parquet pages and row groups whose statistics let filters skip in small steps.
+SHORT_PAGES = {"parquet.page.row.count.limit": "1024", "parquet.block.size": str(8 << 20)}
 
 
 def save_postings(chunks: DataFrame, path: str, compatibility: bool = True) -> Postings:
     """Writes an index below a folder and opens it. Texts are read once: all tables come from the written frequencies.
 
-    Postings and terms are in ranges of terms, sorted: a query reads the row groups that hold its terms.
+    Postings and terms are in ranges of terms, sorted, and in short pages: a search that names its terms in filters
+    (`named_scores`) reads what holds them; one that joins a table of queries reads all.
     """
     spark = chunks.sparkSession
     weighted_terms(chunks, compatibility).write.parquet(f"{path}/frequencies")
     made = _postings(chunks, spark.read.parquet(f"{path}/frequencies"))
-    made.postings.repartitionByRange("term").sortWithinPartitions("term", "pos").write.parquet(f"{path}/postings")
-    made.terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    made.postings.repartitionByRange("term").sortWithinPartitions("term", "pos").write.options(**SHORT_PAGES).parquet(f"{path}/postings")
+    made.terms.repartitionByRange("term").sortWithinPartitions("term").write.options(**SHORT_PAGES).parquet(f"{path}/terms")
     made.stats.write.parquet(f"{path}/stats")
     sizes = spark.read.parquet(f"{path}/stats").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"))
     sizes.coalesce(1).write.parquet(f"{path}/corpus")
@@ -109,6 +115,42 @@ def scores(index: Postings, queries: DataFrame, compatibility: bool = True) -> D
     return full.groupBy("query_id", "pos").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
+def any_of(conditions: list[Column]) -> Column:
+    """Their disjunction as a balanced tree, which plans of many terms need."""
+    while len(conditions) > 1:
+        conditions = [reduce(lambda a, b: a | b, conditions[i : i + 2]) for i in range(0, len(conditions), 2)]
+    return conditions[0] if conditions else F.lit(False)
+
+
+def spans(numbers: list[int], most: int = 128) -> list[tuple[int, int]]:
+    """At most `most` intervals that cover sorted numbers, with the widest gaps left out."""
+    if not numbers:
+        return []
+    gaps = sorted(range(1, len(numbers)), key=lambda i: numbers[i] - numbers[i - 1], reverse=True)[: most - 1]
+    cuts = [0, *sorted(gaps), len(numbers)]
+    return [(numbers[a], numbers[b - 1]) for a, b in zip(cuts, cuts[1:])]
+
+
+def impact(avg_length: Column) -> Column:
+    """A posting's share of a score, before the weight of its term."""
+    mean = F.when(avg_length > 0, avg_length).otherwise(1.0)
+    return F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("length") / mean))
+
+
+def weight(qf: int, n_docs: int, df: int) -> float:
+    return qf * math.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def named_scores(index: Postings, terms: list[tuple[str, str, int]], n_docs: int, avg_length: float) -> DataFrame:
+    """query_id, pos, score as `scores`, for query terms (query_id, term, qf) that the driver knows: filters name them."""
+    spark = index.postings.sparkSession
+    of_terms = any_of([F.col("term") == t for t in sorted({t for _, t, _ in terms})])
+    df = {r.term: r.df for r in index.terms.filter(of_terms).collect()} if terms else {}
+    rows = [(q, t, weight(qf, n_docs, df[t])) for q, t, qf in terms if t in df]
+    met = index.postings.filter(of_terms).join(F.broadcast(local(spark, rows, "query_id string, term string, weight double")), "term")  # the caller's terms
+    return met.groupBy("query_id", "pos").agg(F.round(F.sum(F.col("weight") * impact(F.lit(float(avg_length)))), DIGITS).alias("score"))
+
+
 def top(found: DataFrame, limit: int, tie: str = "pos", by: str = "query_id") -> DataFrame:
     """The best rows of each query with their rank from 1; ties go to the smaller value of `tie`."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), tie)

@@ -16,22 +16,19 @@ A stop word contributes little for all its postings, so of its list hardly anyth
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bm25 import B, CANDIDATES, DIGITS, K1, Postings, query_terms, scores, top
+from ..functions.local import local
+from .bm25 import CANDIDATES, DIGITS, SHORT_PAGES, Postings, any_of, impact, query_terms, scores, spans, top, weight
 
 #: Postings of each term that the first step reads.
 HEAD = 64
 #: Query terms, and documents, that are named in filters; more meet the postings by joins.
 MOST_TERMS, MOST_DOCUMENTS = 256, 2048
-#: Rows of a Parquet page, so that filters skip in small steps.
-PAGE_ROWS = 1024
 #: Sums in another order differ by less.
 SLACK = 1e-8
 
@@ -49,23 +46,17 @@ class Impacts:
     avg_length: float
 
 
-def impact(avg_length: Column) -> Column:
-    mean = F.when(avg_length > 0, avg_length).otherwise(1.0)
-    return F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("length") / mean))
-
-
 def save_impacts(index: Postings, path: str) -> Impacts:
     """Writes the three tables below a folder. A term's postings may lie in many files: they are dealt by term and impact."""
     spark = index.postings.sparkSession
-    small = {"parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.block.size": str(8 << 20)}
     rows = index.postings.crossJoin(F.broadcast(index.corpus)).select("term", impact(F.col("avg_length")).alias("impact"), "pos")  # one row
-    rows.repartitionByRange("term", F.desc("impact")).sortWithinPartitions("term", F.desc("impact"), "pos").write.options(**small).parquet(f"{path}/impacts")
+    rows.repartitionByRange("term", F.desc("impact")).sortWithinPartitions("term", F.desc("impact"), "pos").write.options(**SHORT_PAGES).parquet(f"{path}/impacts")
     written = spark.read.parquet(f"{path}/impacts")
     best = Window.partitionBy("term").orderBy(F.desc("impact"))  # cut to HEAD rows of each term before it is shuffled
     heads = written.select("term", "impact").withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= HEAD)
     levels = heads.groupBy("term").agg(F.max("impact").alias("top"), F.min("impact").alias("cut")).join(index.terms, "term").select("term", "df", "top", "cut")
-    levels.repartitionByRange("term").sortWithinPartitions("term").write.options(**small).parquet(f"{path}/levels")
-    index.postings.repartitionByRange("pos").sortWithinPartitions("pos", "term").select("pos", "term", "freq", "length").write.options(**small).parquet(f"{path}/documents")
+    levels.repartitionByRange("term").sortWithinPartitions("term").write.options(**SHORT_PAGES).parquet(f"{path}/levels")
+    index.postings.repartitionByRange("pos").sortWithinPartitions("pos", "term").select("pos", "term", "freq", "length").write.options(**SHORT_PAGES).parquet(f"{path}/documents")
     return open_impacts(index, path)
 
 
@@ -76,17 +67,6 @@ def open_impacts(index: Postings, path: str) -> Impacts:
     return Impacts(impacts, levels, documents, index, sizes.n_docs, sizes.avg_length)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    """Their disjunction as a balanced tree, which plans of many terms need."""
-    while len(conditions) > 1:
-        conditions = [reduce(lambda a, b: a | b, conditions[i : i + 2]) for i in range(0, len(conditions), 2)]
-    return conditions[0] if conditions else F.lit(False)
-
-
-def _weight(index: Impacts, qf: int, df: int) -> float:
-    return qf * math.log(1 + (index.n_docs - df + 0.5) / (df + 0.5))
-
-
 @dataclass(frozen=True)
 class Plan:
     """Of a search: weights and greatest contributions by (query, term), floors of impact for its second step, the documents
@@ -103,7 +83,7 @@ def _partial(index: Impacts, wanted: Column, rows: list[tuple]) -> DataFrame:
     """query_id, pos, got, seen for the postings that `wanted` names and that reach their query's own floor. rows: query_id,
     term, weight, floor of impact, share: what a document that lacks the posting here may gain by it."""
     spark = index.impacts.sparkSession
-    asked = spark.createDataFrame(rows, "query_id string, term string, weight double, floor double, share double")
+    asked = local(spark, rows, "query_id string, term string, weight double, floor double, share double")
     met = index.impacts.filter(wanted).join(F.broadcast(asked), "term").filter(F.col("impact") >= F.col("floor"))  # MOST_TERMS rows for each query at most
     return met.groupBy("query_id", "pos").agg(F.sum(F.col("weight") * F.col("impact")).alias("got"), F.sum("share").alias("seen"))
 
@@ -132,7 +112,7 @@ def plan(index: Impacts, terms: list, limit: int) -> Plan:
     """Steps 1 and 2 for query terms (query_id, term, qf) that the driver knows."""
     by_term = sorted({r.term for r in terms})
     levels = {r.term: r for r in index.levels.filter(any_of([F.col("term") == t for t in by_term])).collect()}
-    weights = {(r.query_id, r.term): _weight(index, r.qf, levels[r.term].df) for r in terms if r.term in levels}
+    weights = {(r.query_id, r.term): weight(r.qf, index.n_docs, levels[r.term].df) for r in terms if r.term in levels}
     if not weights:
         return Plan({}, {}, None, [], [])
     named = {t: levels[t] for _, t in weights}
@@ -152,13 +132,13 @@ def plan(index: Impacts, terms: list, limit: int) -> Plan:
     unseen: dict[str, float] = defaultdict(float)
     for (q, t), w in weights.items():
         unseen[q] += w * floors[q, t]
-    limits = spark.createDataFrame([(q, x, bound.get(q, 0.0) - SLACK) for q, x in unseen.items()], "query_id string, unseen double, bound double")
+    limits = local(spark, [(q, x, bound.get(q, 0.0) - SLACK) for q, x in unseen.items()], "query_id string, unseen double, bound double")
     chosen = partial.join(F.broadcast(limits), "query_id").filter(F.col("got") + F.col("unseen") - F.col("seen") >= F.col("bound")).select("query_id", "pos")
     some = chosen.select("query_id", "pos").limit(MOST_DOCUMENTS + 1).collect()
     if len(some) <= MOST_DOCUMENTS:
         partial.unpersist()
         kind = index.documents.schema["pos"].dataType.simpleString()
-        chosen = spark.createDataFrame([(r.query_id, r.pos) for r in some], f"query_id string, pos {kind}")
+        chosen = local(spark, [(r.query_id, r.pos) for r in some], f"query_id string, pos {kind}")
         return Plan(weights, floors, chosen, sorted({r.pos for r in some}), [heads, second])
     return Plan(weights, floors, chosen, None, [heads, second])
 
@@ -181,25 +161,16 @@ def _scored(index: Impacts, made: Plan) -> DataFrame:
     spark = index.impacts.sparkSession
     kind = index.documents.schema["pos"].dataType.simpleString()
     if not made.weights:
-        return spark.createDataFrame([], f"query_id string, pos {kind}, score double")
+        return local(spark, [], f"query_id string, pos {kind}, score double")
     own = index.documents.filter(any_of([F.col("term") == t for t in sorted({t for _, t in made.weights})]))
     if made.numbers is not None:
         own = own.filter(any_of([F.col("pos").between(a, b) for a, b in spans(made.numbers)]))
-    weights = spark.createDataFrame([(q, t, w) for (q, t), w in made.weights.items()], "query_id string, term string, weight double")
+    weights = local(spark, [(q, t, w) for (q, t), w in made.weights.items()], "query_id string, term string, weight double")
     met = own.join(F.broadcast(weights), "term").join(made.documents, ["query_id", "pos"])
     part = F.col("weight") * impact(F.lit(float(index.avg_length)))
     return met.groupBy("query_id", "pos").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
-def spans(numbers: list[int], most: int = 128) -> list[tuple[int, int]]:
-    """At most `most` intervals that cover sorted numbers, with the widest gaps left out."""
-    if not numbers:
-        return []
-    gaps = sorted(range(1, len(numbers)), key=lambda i: numbers[i] - numbers[i - 1], reverse=True)[: most - 1]
-    cuts = [0, *sorted(gaps), len(numbers)]
-    return [(numbers[a], numbers[b - 1]) for a, b in zip(cuts, cuts[1:])]
-
-
 def postings_read(index: Impacts, queries: DataFrame, limit: int = CANDIDATES, compatibility: bool = True) -> dict[str, int]:
     """How many postings a search reads in its steps, and how many the index and the query terms' lists have."""
     terms = query_terms(queries.select(F.col("query_id").cast("string").alias("query_id"), "text"), compatibility).collect()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from pathlib import Path
 from typing import Protocol
@@ -14,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..functions.text import collapse
+from ..functions.local import local
+from ..functions.text import collapse, terms
 from ..functions.vectors import hash_embedding
 from ..operators import bm25, chunk, diff, expand, fuse
 from ..sources import files
@@ -22,6 +25,8 @@ from .store import SCHEMA_VERSION, CorpusNotFound, IndexProblem, ModelUnavailabl
 
 CHUNKER_VERSION = "2"
 PROFILES = ("hybrid", "vector")
+#: Query terms that a search names in filters; with more it joins them.
+MOST_NAMED = 256
 # Fixed texts of results.
 HEADLINE, NOTHING_FOUND = "🔍 检索：", "没有找到相关结果。"
 
@@ -87,6 +92,7 @@ class Index:
         self.store = Store(self.root)
         self.glossary, self.phrases = list(self.glossary), list(self.phrases)
         self.expander = expand.Expander(self.glossary, self.phrases)
+        self._opened: tuple[str, tuple] | None = None
 
     # Building
     def fingerprint(self, corpus_dir: str) -> str:
@@ -172,7 +178,11 @@ class Index:
         own = manifest["embedding"]
         if own["model"] != self.embedder.name or own["dimension"] != self.embedder.dimension or (own["revision"] is not None and own["revision"] != self.embedder.revision):
             raise ModelUnavailable(f"the index was built with {own['model']}, {own['dimension']} dimensions, revision {own['revision']}")
-        return self.spark.read.parquet(f"{generation}/chunks"), bm25.open_postings(self.spark, str(generation)), manifest
+        if self._opened is None or self._opened[0] != str(generation):  # a generation never changes
+            postings = bm25.open_postings(self.spark, str(generation))
+            postings = replace(postings, corpus=local(self.spark, [tuple(r) for r in postings.corpus.collect()], postings.corpus.schema.simpleString()[7:-1].replace(":", " ")))  # one row
+            self._opened = str(generation), (self.spark.read.parquet(f"{generation}/chunks"), postings, manifest)
+        return self._opened[1]
 
     def search_many(self, queries: DataFrame, top_k: int = 5, profile: str = "hybrid", demote_frontmatter: bool = False, n_queries: int | None = None) -> DataFrame:
         """Hits of all queries (query_id, text) in one plan, n_queries of them if that is known: query_id, id, source, heading, type, score, raw_score, rank, text."""
@@ -189,10 +199,37 @@ class Index:
         lexical = bm25.search(postings, asked, bm25.CANDIDATES)
         return fuse.finish(fuse.rrf([near, lexical]), chunks, top_k, demote_frontmatter).select("query_id", "id", "source", "heading", "type", "score", "raw_score", "rank", "text")
 
+    def search_texts(self, texts: dict[str, str], top_k: int = 5, profile: str = "hybrid", demote_frontmatter: bool = False) -> DataFrame:
+        """The same for a few queries that the driver has, by query_id. Filters name their terms and, in the end, the places of
+        the chunks that both lists give: of postings and chunks, what holds these is read."""
+        asked = local(self.spark, list(texts.items()), "query_id string, text string")
+        if profile not in PROFILES or profile == "vector":
+            return self.search_many(asked, top_k, profile, demote_frontmatter, len(texts))
+        chunks, postings, _ = self.open()
+        expanded = {q: self.expander(t) for q, t in texts.items()}
+        composed = local(self.spark, [(q, unicodedata.normalize("NFKC", t)) for q, t in expanded.items()], "query_id string, text string")
+        lists = composed.select("query_id", terms(F.col("text"), False).alias("terms")).collect()
+        named = [(r.query_id, t, n) for r in lists for t, n in Counter(r.terms).items()]
+        if len(named) > MOST_NAMED:
+            return self.search_many(asked, top_k, profile, demote_frontmatter, len(texts))
+        sizes = postings.corpus.first()
+        lexical = bm25.top(bm25.named_scores(postings, named, sizes.n_docs, sizes.avg_length), bm25.CANDIDATES)
+        vectors = local(self.spark, list(expanded.items()), "query_id string, text string").select("query_id", self.embedder.embed(F.col("text")).alias("qvec"))
+        keyed = chunks.select(F.struct("id", "pos").alias("key"), "embedding")  # in the order of the ids
+        near = fuse.cosine_topk(keyed, vectors, bm25.CANDIDATES, "key", n_queries=len(texts)).select("query_id", F.col("id.pos").alias("id"), "rank")
+        raw = fuse.rrf([near, lexical.select("query_id", F.col("pos").alias("id"), "rank")]).collect()  # two lists of CANDIDATES for each query
+        wanted = bm25.any_of([F.col("pos").between(a, b) for a, b in bm25.spans(sorted({r.id for r in raw}))])
+        columns = ["pos", "id", "source", "heading", "type", "text"]
+        hits = chunks.select(*columns).filter(wanted).join(F.broadcast(local(self.spark, [(r.id,) for r in raw], "pos long").distinct()), "pos", "left_semi")
+        rows = [tuple(r[c] for c in columns) for r in hits.collect()]
+        at = {r[0]: r[1] for r in rows}
+        found = local(self.spark, [(r.query_id, at[r.id], r.raw) for r in raw], "query_id string, id string, raw double")
+        own = local(self.spark, [r[1:] for r in rows], "id string, source string, heading string, type string, text string")
+        return fuse.finish(found, own, top_k, demote_frontmatter).select("query_id", "id", "source", "heading", "type", "score", "raw_score", "rank", "text")
+
     def search(self, text: str, top_k: int = 5, profile: str = "hybrid", demote_frontmatter: bool = False) -> DataFrame:
         """Hits of one query, best first."""
-        one = self.spark.createDataFrame([("q", text)], "query_id string, text string")
-        return self.search_many(one, top_k, profile, demote_frontmatter, 1).drop("query_id", "id").orderBy("rank")
+        return self.search_texts({"q": text}, top_k, profile, demote_frontmatter).drop("query_id", "id").orderBy("rank")
 
     # Health
     def package(self) -> dict:

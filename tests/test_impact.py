@@ -63,7 +63,7 @@ def test_filters_reach_the_scan(spark, index):
 
 
 def test_spans():
-    assert impact.spans([]) == []
-    assert impact.spans([1, 2, 3, 50, 51, 90], 2) == [(1, 3), (50, 90)] or impact.spans([1, 2, 3, 50, 51, 90], 2) == [(1, 51), (90, 90)]
-    covered = impact.spans(list(range(0, 1000, 7)), 10)
+    assert bm25.spans([]) == []
+    assert bm25.spans([1, 2, 3, 50, 51, 90], 2) == [(1, 3), (50, 90)] or bm25.spans([1, 2, 3, 50, 51, 90], 2) == [(1, 51), (90, 90)]
+    covered = bm25.spans(list(range(0, 1000, 7)), 10)
     assert len(covered) == 10 and covered[0][0] == 0 and covered[-1][1] == 994
