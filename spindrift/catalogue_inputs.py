@@ -14,6 +14,8 @@ from .catalogue import _GLOSSARY_SQL, EXPANDED, GLOSSARY, MANY, ORACLE_SQL, TOKE
 from .functions import text as T
 from .operators import chunk, diff, evaluate, expand, fuse, ingest
 from .plans.index import BatchEmbedder, HashingEmbedder, Index, format_results
+from .plans.scratch import scratch
+from .plans.segments import SHIFT, Segments
 from .plans.server import Server
 from .plans.store import IndexProblem, Store, require_ascii
 from .sources import files
@@ -493,6 +495,44 @@ def corpus_hash(spark, sf_dir) -> str:
     return files.fingerprint(docs.select("source", F.octet_length("text").alias("length"), F.sha2("text", 256).alias("hash"))).first().fingerprint
 
 
+# An index that grows: an update of one that lacks a hundredth of the documents and has as many that are gone
+_GROWN: dict[tuple[str, str], tuple[Segments, dict]] = {}
+
+
+def grown(spark: SparkSession, sf_dir: str) -> tuple[Segments, dict]:
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _GROWN:
+        docs, index = doc_sources(spark, sf_dir), Segments(spark, scratch(spark), glossary=GLOSSARY)
+        number = F.regexp_extract("source", r"(\d+)\.md$", 1).cast("long")
+        index.update(docs.filter(number % 100 != 7).unionByName(docs.filter(number % 100 == 9).withColumn("source", F.concat(F.lit("ghost/"), "source"))))
+        _GROWN[key] = index, index.update(docs)
+    return _GROWN[key]
+
+
+@query("segments_search", _index_hits(_values(MANY), "hybrid", 10))
+def segments_search(spark, sf_dir):
+    """The hits of index_search_many, from an index that an update has brought to the same corpus."""
+    return grown(spark, sf_dir)[0].search_many(asked(spark, MANY), 10).drop("text")
+
+
+_OF = "regexp_extract(source, '(\\d+)\\.md$', 1)::bigint % 100"
+
+
+@query(
+    "segments_update",
+    f"""with {DOC_CHUNKS}, n as (select {_OF} as of, count(distinct (source, text)) as n from chunks group by all)
+    select (select count(*) from documents where text is not null and doc_id % 100 in (7, 9)) as documents,
+      (select coalesce(sum(n), 0)::bigint from n where of = 7) as added, (select coalesce(sum(n), 0)::bigint from n where of = 9) as removed,
+      (select coalesce(sum(n), 0)::bigint from n where of = 7) as embedded""",
+)
+def segments_update(spark, sf_dir):
+    """What the update did, with the chunks that the new segments hold: no other chunk was embedded."""
+    index, told = grown(spark, sf_dir)
+    newest = [s["name"] for s in index.state()["segments"] if s["name"].startswith(f"seg-{told['generation']}-")]
+    held = index._each(index.state(), "chunks", newest).filter(F.shiftright("pos", SHIFT) == told["generation"]).agg(F.count(F.lit(1)).alias("embedded"))
+    return held.select(*(F.lit(told[c]).cast("long").alias(c) for c in ("documents", "added", "removed")), "embedded")
+
+
 # Snapshots and server
 LIFE = [
     (1, "no index", "INDEX_NOT_FOUND"),

@@ -73,8 +73,13 @@ def save_postings(chunks: DataFrame, path: str, compatibility: bool = True) -> P
     Postings and terms are in ranges of terms, sorted, and in short pages: a search that names its terms in filters
     (`named_scores`) reads what holds them; one that joins a table of queries reads all.
     """
-    spark = chunks.sparkSession
     weighted_terms(chunks, compatibility).write.parquet(f"{path}/frequencies")
+    return save_tables(chunks, path)
+
+
+def save_tables(chunks: DataFrame, path: str) -> Postings:
+    """The tables of an index whose frequencies (pos, term, freq) are written below its folder."""
+    spark = chunks.sparkSession
     made = _postings(chunks, spark.read.parquet(f"{path}/frequencies"))
     made.postings.repartitionByRange("term").sortWithinPartitions("term", "pos").write.options(**SHORT_PAGES).parquet(f"{path}/postings")
     made.terms.repartitionByRange("term").sortWithinPartitions("term").write.options(**SHORT_PAGES).parquet(f"{path}/terms")
