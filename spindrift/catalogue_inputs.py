@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,14 @@ from pyspark.sql import functions as F
 
 from .catalogue import _GLOSSARY_SQL, EXPANDED, GLOSSARY, MANY, ORACLE_SQL, TOKEN_RE, _norm, _terms, _values, asked, folder, page_markdown, query, read
 from .functions import text as T
-from .operators import chunk, diff, evaluate, expand, fuse, ingest
+from .operators import bm25, chunk, diff, evaluate, expand, fuse, ingest, patterns
 from .plans.index import BatchEmbedder, HashingEmbedder, Index, format_results
 from .plans.scratch import scratch
 from .plans.segments import SHIFT, Segments
 from .plans.server import Server
+from .plans import stream
 from .plans.store import IndexProblem, Store, require_ascii
-from .sources import files
+from .sources import files, sink
 
 
 def sql(x) -> str:
@@ -495,6 +497,74 @@ def corpus_hash(spark, sf_dir) -> str:
     return files.fingerprint(docs.select("source", F.octet_length("text").alias("length"), F.sha2("text", 256).alias("hash"))).first().fingerprint
 
 
+#: Groupings of the evaluation: every combination that a report shows.
+BY = ["split", "profile", "language"]
+SETS = [[], ["split"], ["profile"], ["split", "profile"], ["profile", "language"], BY]
+_ITEMS = "(select item_id::varchar as query_id, text from benchmark)"
+
+
+@query(
+    "profile_stats",
+    f"""with h as (select 'hybrid' as profile, query_id, source, rank from ({_index_hits(_ITEMS, 'hybrid', 5)}) union all select 'vector', query_id, source, rank from ({_index_hits(_ITEMS, 'vector', 5)})),
+    labels as (select b.item_id::varchar as query_id, d.source || '/' || d.doc_id || '.md' as source from documents d join benchmark b on b.text <> '' and contains(d.text, b.text)),
+    asked as (select item_id::varchar as query_id, item_id % 2 as split, case when regexp_matches(text, '[^\\x00-\\x7f]') then 'other' else 'ascii' end as language, profile from benchmark, (values ('hybrid'), ('vector')) p(profile)),
+    firsts as (select a.*, (select min(h.rank) from h join labels l using (query_id, source) where h.query_id = a.query_id and h.profile = a.profile) as first from asked a)
+    select split, profile, language, grouping_id(split, profile, language)::int as level, count(*) as queries, round(avg((coalesce(first, 1000) <= 3)::int), 6) as recall,
+      round(avg(case when first <= 5 then 1.0 / first else 0 end), 6) as mrr from firsts
+    group by grouping sets ((), (split), (profile), (split, profile), (profile, language), (split, profile, language))""",
+)
+def profile_stats(spark, sf_dir):
+    """Benchmark texts as queries in both profiles; relevant are chunks of documents that hold the text."""
+    items = read(spark, sf_dir, "benchmark")
+    queries = items.select(F.col("item_id").cast("string").alias("query_id"), "text")
+    hits = [built(spark, sf_dir).search_many(queries, 5, profile=p).select(F.lit(p).alias("profile"), "query_id", "source", "rank") for p in ("hybrid", "vector")]
+    matcher = patterns.build(items.select(F.col("text").alias("pattern")), scratch(spark))
+    held = patterns.occurrences(read(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), "text"), matcher, "source")
+    labels = held.join(queries.withColumnRenamed("text", "pattern"), "pattern").select("query_id", "source")
+    firsts = hits[0].unionByName(hits[1]).join(labels, ["query_id", "source"], "left_semi").groupBy("query_id", "profile").agg(F.min("rank").alias("first"))
+    language = F.when(T.is_ascii(F.col("text")), "ascii").otherwise("other")
+    asked_ = items.select(F.col("item_id").cast("string").alias("query_id"), (F.col("item_id") % 2).alias("split"), language.alias("language"), F.explode(F.array(F.lit("hybrid"), F.lit("vector"))).alias("profile"))
+    found = evaluate.grouped_stats(asked_.join(firsts, ["query_id", "profile"], "left"), BY, SETS)
+    return found.select(*BY, "level", "queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+def _copied(index: Index) -> None:
+    """The active snapshot once more, as a new one, and active."""
+    old, new = index.store.current(), index.store.create()
+    for table in ("chunks", *bm25.TABLES, "frequencies"):
+        shutil.copytree(old / table, new / table)
+    index.store.write_manifest(new, index.store.manifest(old))
+    index.store.activate(new)
+
+
+@query("index_search_stream", _index_hits(_ITEMS, "hybrid", 3))
+def index_search_stream(spark, sf_dir):
+    """The hits of index_search_benchmark from a stream of three files of queries; another snapshot is active for the third."""
+    served = Index(spark, built(spark, sf_dir).root, glossary=GLOSSARY)
+    root = folder(spark)
+    lines = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text", (F.col("item_id") % 3).alias("part"))
+    for part in range(3):
+        if part == 2:
+            _copied(served)
+        lines.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").json(str(root / "lines"))
+        stream.search_stream(served, str(root / "lines"), str(root / "hits"), str(root / "state"), 3).awaitTermination()
+    return spark.read.parquet(str(root / "hits")).drop("text", "batch", "generation")
+
+
+_MARKDOWN = ORACLE_SQL["page_markdown"]
+
+
+@query("markdown_sink", f"select page_id, sha256(markdown) as digest from ({_MARKDOWN}) where markdown <> ''")
+def markdown_sink(spark, sf_dir):
+    """One file for each page with a body, read back as files."""
+    root = scratch(spark)
+    sink.register(spark)
+    pages = page_markdown(spark, sf_dir).filter("markdown <> ''")
+    pages.select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("name"), F.col("markdown").alias("text")).write.format("markdown").mode("append").save(root)
+    back = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("name"), F.col("value"))
+    return back.select(F.regexp_extract("name", r"(\d+)\.md$", 1).cast("long").alias("page_id"), F.sha2("value", 256).alias("digest"))
+
+
 # An index that grows: an update of one that lacks a hundredth of the documents and has as many that are gone
 _GROWN: dict[tuple[str, str], tuple[Segments, dict]] = {}
 

@@ -37,6 +37,18 @@ def split_stats(found: DataFrame, by: list[str], k: int = 3, depth: int = 5) ->
     )
 
 
+def grouped_stats(found: DataFrame, by: list[str], sets: list[list[str]], k: int = 3, depth: int = 5) -> DataFrame:
+    """Queries, recall and MRR for several groupings at once (split, profile, both, all, ...): the columns of `by`, null where a
+    grouping leaves them out, and level, in which each left-out column has its bit, the last of `by` the lowest. Rows are
+    (query, profile) pairs with `first`; each is expanded to the groupings after it is read, and summed before it is shuffled."""
+    return found.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in by)).agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.count(F.lit(1)).alias("queries"),
+        F.avg((F.coalesce("first", F.lit(1 << 30)) <= k).cast("double")).alias("recall"),
+        F.avg(F.when(F.col("first") <= depth, 1 / F.col("first")).otherwise(0.0)).alias("mrr"),
+    )
+
+
 def exclusive_quantile(values: DataFrame, column: str, q: float, by: list[str] | None = None) -> DataFrame:
     """Quantile by exclusive interpolation (position q * (n + 1)), for all rows or each group.
 
