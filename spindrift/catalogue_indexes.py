@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import MANY, NEAR, _norm, _scores, _values, asked, first_vectors, query, read, saved, vectors
-from .operators import ann, impact, ingest, merkle, patterns
+from .functions import text as T
+from .operators import ann, impact, ingest, merkle, names, patterns
 from .plans.scratch import scratch
 
 _WRITTEN: dict[tuple[str, str, str], object] = {}
@@ -79,6 +80,38 @@ def contamination_exact(spark, sf_dir):
     return found.join(items, "pattern").select("doc_id", "item_id", "n")
 
 
+#: A hundred names of every document, of 9 to 18 characters.
+NAMES = 100
+_NAMED = f"""named as (select doc_id * {NAMES} + i as number, {_norm("substr(text, 1 + i * 23, 9 + (doc_id + i) % 10)")} as name, ['c' || doc_id, 'x' || i] as gives from documents, range({NAMES}) r(i)),
+asked as (select item_id, {_norm('text')} as t from benchmark)"""
+
+
+@query(
+    "expand_many_names",
+    f"""with recursive {_NAMED},
+    cand as materialized (select item_id, length(name) as size, gives, row_number() over (partition by item_id order by length(name) desc, number) as k,
+      list_filter(range(1, length(t) - length(name) + 2), lambda i: substr(t, i, length(name)) = name) as places from asked join named on name <> '' and contains(t, name)),
+    step(item_id, k, taken, added) as (
+      select item_id, 0::bigint, []::bigint[], []::varchar[] from asked
+      union all
+      select s.item_id, c.k, case when p.at is null then s.taken else list_concat(s.taken, range(p.at, p.at + c.size)) end, case when p.at is null then s.added else list_concat(s.added, c.gives) end
+      from step s join cand c on c.item_id = s.item_id and c.k = s.k + 1,
+        lateral (select list_filter(c.places, lambda i: not list_has_any(s.taken, range(i, i + c.size)))[1] as at) p),
+    last as (select item_id, max_by(added, k) as added from step group by item_id),
+    firsts as (select item_id, g, min(i) as i from (select item_id, unnest(added) as g, generate_subscripts(added, 1) as i from last) group by all),
+    listed as (select item_id, string_agg(g, ' ' order by i) as more from (select *, row_number() over (partition by item_id order by i) as n from firsts) where n <= 12 group by item_id)
+    select item_id, trim(concat_ws(' ', t, more)) as text from asked left join listed using (item_id)""",
+)
+def expand_many_names(spark, sf_dir):
+    """Benchmark texts, expanded by a hundred times as many names as there are documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(NAMES - 1))).alias("i"))
+    piece = F.col("text").substr(1 + F.col("i") * 23, (9 + (F.col("doc_id") + F.col("i")) % 10).cast("int"))
+    gives = F.array(F.concat(F.lit("c"), F.col("doc_id").cast("string")), F.concat(F.lit("x"), F.col("i").cast("string")))
+    own = docs.select((F.col("doc_id") * NAMES + F.col("i")).alias("number"), F.lit(0).alias("kind"), T.normalize(piece).alias("name"), gives.alias("gives"))
+    asked_ = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return names.expand(asked_, own, scratch(spark)).withColumnRenamed("query_id", "item_id")
+
+
 VERSIONS = """old as (select doc_id as path, md5(text) as hash from documents),
 new as (select doc_id as path, case when doc_id % 101 = 0 then 'other' else md5(text) end as hash from documents where doc_id % 97 <> 0
   union all select doc_id + 1000000000, md5(text) from documents where doc_id % 103 = 0)"""

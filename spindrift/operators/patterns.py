@@ -81,7 +81,7 @@ def load(uri: str):
     return machine
 
 
-def _pieces(texts: pa.Array) -> Iterator[tuple[int, list]]:
+def pieces(texts: pa.Array) -> Iterator[tuple[int, list]]:
     """Runs of texts of about TEXT_CHARS, with the place of their first."""
     at, held, size = 0, [], 0
     for i, text in enumerate(texts.to_pylist()):
@@ -94,7 +94,7 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, list]]:
         yield at, held
 
 
-def _machines(matcher: Matcher):
+def machines(matcher: Matcher):
     return (m for block in range(matcher.blocks) if (m := load(f"{matcher.path}/{block}.automaton")) is not None)
 
 
@@ -103,8 +103,8 @@ def occurrences(docs: DataFrame, matcher: Matcher, key: str, text: str = "text")
 
     def run(batches):
         for b in batches:
-            for lo, texts in _pieces(b.column("text")):
-                for machine in _machines(matcher):
+            for lo, texts in pieces(b.column("text")):
+                for machine in machines(matcher):
                     rows = [(lo + i, Counter(w for _, w in machine.iter(t))) for i, t in enumerate(texts) if t]
                     places = [i for i, counts in rows for _ in counts]
                     if places:
@@ -122,8 +122,8 @@ def present(docs: DataFrame, matcher: Matcher, text: str = "text") -> DataFrame:
     def run(batches):
         known: set = set()
         for b in batches:
-            for _, texts in _pieces(b.column("text")):
-                for machine in _machines(matcher):
+            for _, texts in pieces(b.column("text")):
+                for machine in machines(matcher):
                     new = {w for t in texts if t for _, w in machine.iter(t)} - known
                     if new:
                         known = known | new if len(known) < NAMED else new
