@@ -3,11 +3,13 @@
 A canonical key writes the labels of a host in reverse, each followed by a dot ("www.example.net" gives
 "net.example.www."), so a rule's host covers the interval of keys that start with the rule's key: itself and all
 subdomains. URLs are sorted by (key, path), rules by (key, path); one sweep over both keeps the stack of the rules whose
-interval is open, and among these the path prefix and the longest rule decide.
+interval is open. The path prefixes of a host's rules are nested intervals of its own paths, searched by bisection, and
+the longest rule of all open hosts decides.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -31,37 +33,63 @@ def host_key(host: str) -> str:
     return ".".join(reversed(host.split("."))) + "."
 
 
-def sweep(urls: Sequence[tuple[str, str]], rules: Sequence[Rule]) -> list[int]:
-    """For each (host, path) the index of the longest rule that fits, or -1.
-
-    Longest: most characters of host and path together, then of the host, then the first in the list.
+class Paths:
+    """The path prefixes of one host's rules, sorted, each with the longest other one that it starts with: nested intervals."""
+
+    def __init__(self, rules: list[tuple[str, int]]):
+        first: dict[str, int] = {}
+        for path, rule in rules:
+            first[path] = min(rule, first.get(path, rule))
+        self.paths = sorted(first)
+        self.rules = [first[p] for p in self.paths]
+        self.outer: list[int] = []
+        open_: list[int] = []
+        for i, path in enumerate(self.paths):
+            while open_ and not path.startswith(self.paths[open_[-1]]):
+                open_.pop()
+            self.outer.append(open_[-1] if open_ else -1)
+            open_.append(i)
+
+    def longest(self, path: str) -> int:
+        """The rule of the longest prefix of a path, or -1. All prefixes of it enclose the last entry that is not behind it."""
+        i = bisect_right(self.paths, path) - 1
+        while i >= 0 and not path.startswith(self.paths[i]):
+            i = self.outer[i]
+        return self.rules[i] if i >= 0 else -1
+
+
+def prepared(rules: Sequence[Rule]) -> list[tuple[str, Paths]]:
+    """The rules' host keys in order, each with its paths."""
+    by_host: dict[str, list[tuple[str, int]]] = {}
+    for r, (_, host, path) in enumerate(rules):
+        by_host.setdefault(host_key(host), []).append((path, r))
+    return [(k, Paths(by_host[k])) for k in sorted(by_host)]
+
+
+def sweep(urls: Sequence[tuple[str, str]], rules: Sequence[Rule], starts: list[tuple[str, Paths]] | None = None) -> list[int]:
+    """For each (host, path) the index of the longest rule that fits, or -1; starts: prepared(rules), if that is there already.
+
+    Longest: most characters of host and path together, then of the host, then the first in the list. The stack holds the
+    hosts whose intervals are open, at most one for each label; each is asked for its longest path prefix.
     """
+    starts = prepared(rules) if starts is None else starts
     keys = [host_key(h) for h, _ in urls]
     order = sorted(range(len(urls)), key=lambda i: (keys[i], urls[i][1]))
-    starts = sorted((host_key(h), p, r) for r, (_, h, p) in enumerate(rules))
     found = [-1] * len(urls)
-    stack: list[tuple[str, list[tuple[str, int]]]] = []  # open intervals, the innermost last
-    nxt, last, fits = 0, None, []
+    stack: list[tuple[str, Paths]] = []  # open intervals, the innermost last
+    nxt, last = 0, None
     for i in order:
         key, path = keys[i], urls[i][1]
         if key != last:
             while stack and not key.startswith(stack[-1][0]):
                 stack.pop()
             while nxt < len(starts) and starts[nxt][0] <= key:
-                k, p, r = starts[nxt]
+                if key.startswith(starts[nxt][0]):  # else its interval closed before this key
+                    stack.append(starts[nxt])
                 nxt += 1
-                if not key.startswith(k):
-                    continue  # its interval closed before this key
-                if stack and stack[-1][0] == k:
-                    stack[-1][1].append((p, r))
-                else:
-                    stack.append((k, [(p, r)]))
             last = key
-            fits = sorted(
-                ((p, r) for _, own in stack for p, r in own),
-                key=lambda x: (-len(rules[x[1]][1]) - len(x[0]), -len(rules[x[1]][1]), x[1]),
-            )
-        found[i] = next((r for p, r in fits if path.startswith(p)), -1)
+        fits = [r for _, own in stack if (r := own.longest(path)) >= 0]
+        found[i] = max(fits, key=lambda r: (len(rules[r][1]) + len(rules[r][2]), len(rules[r][1]), -r), default=-1)
     return found
 
 
@@ -103,9 +131,10 @@ def filter_urls(
     blocks = rule_blocks(rules, block_bytes) if rules else []
 
     def judge(batches, rules=None, base=0):
+        starts = prepared(rules)
         for b in batches:
             urls = list(zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True))
-            best = sweep(urls, rules)
+            best = sweep(urls, rules, starts)
             hits = [None if r < 0 else f"{rules[r][1]}{rules[r][2]}" for r in best]
             verdicts = [None if r < 0 else rules[r][0] for r in best]
             hosts = [-1 if r < 0 else len(rules[r][1]) for r in best]

@@ -108,3 +108,22 @@ def test_audio_is_found_again_behind_damage():
     flipped[whole.offsets[1] + 8] ^= 1
     assert media.read_audio(bytes(flipped)).crc_bad == 1
     assert media.read_audio(b"").offsets == [] and media.read_audio(b"\xff" * 50).offsets == []
+
+
+def test_long_rule_lists_are_searched_not_scanned():
+    import random
+    import time
+
+    from spindrift.llm import url_filter as u
+
+    r = random.Random(7)
+    part = lambda k: "".join(r.choices("ab", k=k))
+    rules = [("block", r.choice(["com", "a.com", "b.a.com", "net"]), "/" + part(r.randint(0, 4))) for _ in range(300)]
+    urls = [(r.choice(["com", "a.com", "x.b.a.com", "net", "xnet", "a.net", ""]), "/" + part(r.randint(0, 6)) if r.random() < 0.9 else "") for _ in range(500)]
+    fits = lambda h, p, x: (h == x[1] or h.endswith("." + x[1])) and p.startswith(x[2])
+    want = [max((i for i, x in enumerate(rules) if fits(h, p, x)), key=lambda i: (len(rules[i][1]) + len(rules[i][2]), len(rules[i][1]), -i), default=-1) for h, p in urls]
+    assert u.sweep(urls, rules) == want
+    many = [("block", "com", f"/{i}/") for i in range(20_000)]
+    starts, began = u.prepared(many), time.time()
+    assert u.sweep([(f"h{i}.com", f"/{i}/x") for i in range(5000)], many, starts) == list(range(5000))
+    assert time.time() - began < 3
