@@ -21,7 +21,7 @@ from .common import ASCII_LOWER, by_bytes, materialize, table
 IN_TERM = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 LOWER = np.frombuffer(ASCII_LOWER, np.uint8)
 #: Bytes of text that are tokenized at once; a longer text is a slice of its own.
-SLICE = 4 << 20
+SLICE = 2 << 20
 SCALE = 1_000_000_000
 #: Numbers up to which SCALE times the number fits into 64 bits.
 WIDE = (1 << 63) // SCALE - 1
