@@ -218,9 +218,10 @@ class Index:
         keyed = chunks.select(F.struct("id", "pos").alias("key"), "embedding")  # in the order of the ids
         near = fuse.cosine_topk(keyed, vectors, bm25.CANDIDATES, "key", n_queries=len(texts)).select("query_id", F.col("id.pos").alias("id"), "rank")
         raw = fuse.rrf([near, lexical.select("query_id", F.col("pos").alias("id"), "rank")]).collect()  # two lists of CANDIDATES for each query
-        wanted = bm25.any_of([F.col("pos").between(a, b) for a, b in bm25.spans(sorted({r.id for r in raw}))])
+        places = sorted({r.id for r in raw})
+        wanted = bm25.any_of([F.col("pos").between(a, b) for a, b in bm25.spans(places)])  # for the scan; the list is exact
         columns = ["pos", "id", "source", "heading", "type", "text"]
-        hits = chunks.select(*columns).filter(wanted).join(F.broadcast(local(self.spark, [(r.id,) for r in raw], "pos long").distinct()), "pos", "left_semi")
+        hits = chunks.select(*columns).filter(wanted & F.col("pos").isin(places))
         rows = [tuple(r[c] for c in columns) for r in hits.collect()]
         at = {r[0]: r[1] for r in rows}
         found = local(self.spark, [(r.query_id, at[r.id], r.raw) for r in raw], "query_id string, id string, raw double")
