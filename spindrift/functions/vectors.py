@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Words whose buckets a batch of texts remembers.
+KNOWN = 1 << 18
+
 
 def bind(value: Column, use) -> Column:
     """use(value), with the value computed once: inside a lambda an expression is else computed for every element."""
@@ -60,3 +67,26 @@ def hash_embedding(words: Column, dimension: int = 64) -> Column:
         return bind(starts, lambda at: F.transform(places, lambda i: (F.get(at, i + 1) - F.get(at, i) - 1).cast("double")))
 
     return l2_normalize(bind(F.sort_array(F.concat(F.transform(words, lambda w: bucket_of(w, dimension)), places)), count))
+
+
+class _Buckets(dict):
+    def __missing__(self, word: str) -> int:
+        found = self[word] = hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[0]
+        return found
+
+
+def hash_embedding_batches(spaced: Column, dimension: int = 64) -> Column:
+    """hash_embedding of the words between the spaces of a column, for tables: a batch of texts hashes each word once."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        known, out = _Buckets(), []
+        for text in texts:
+            words = [w for w in (text or "").split(" ") if w]
+            if len(known) > KNOWN:
+                known.clear()
+            counts = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)) % dimension, minlength=dimension).astype(np.float64)
+            length = np.sqrt((counts * counts).sum())
+            out.append(counts / length if length > 0 else counts)
+        return pd.Series(out, index=texts.index)
+
+    return F.pandas_udf(run, "array<double>")(spaced)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..functions.local import local
-from ..functions.text import collapse, terms
-from ..functions.vectors import hash_embedding
+from ..functions.text import collapse, normalized_source, terms
+from ..functions.vectors import hash_embedding, hash_embedding_batches
 from ..operators import bm25, chunk, diff, expand, fuse
 from ..sources import files
 from .store import SCHEMA_VERSION, CorpusNotFound, IndexProblem, ModelUnavailable, SchemaMismatch, Store, require_ascii
@@ -49,9 +49,20 @@ class HashingEmbedder:
     name: str = "hashing"
     revision: str | None = "1"
 
+    def _spaced(self, text: Column) -> Column:
+        return collapse(F.regexp_replace(F.lower(text), r"([\x{3400}-\x{9fff}])", " $1 "))
+
     def embed(self, text: Column) -> Column:
-        words = F.split(collapse(F.regexp_replace(F.lower(text), r"([\x{3400}-\x{9fff}])", " $1 ")), " ")
-        return hash_embedding(F.filter(words, lambda w: w != ""), self.dimension)
+        return hash_embedding(F.filter(F.split(self._spaced(text), " "), lambda w: w != ""), self.dimension)
+
+    def embed_table(self, text: Column) -> Column:
+        """The same vectors for whole tables, by Arrow batches."""
+        return hash_embedding_batches(self._spaced(text), self.dimension)
+
+
+def embed_table(embedder: Embedder, text: Column) -> Column:
+    """An embedder's vectors of a table's texts, by its way for tables if it has one."""
+    return getattr(embedder, "embed_table", embedder.embed)(text)
 
 
 @dataclass
@@ -98,14 +109,19 @@ class Index:
     def fingerprint(self, corpus_dir: str) -> str:
         return files.fingerprint(files.file_hashes(files.read_bytes(self.spark, corpus_dir))).first().fingerprint
 
-    def chunks(self, docs: DataFrame, spans: chunk.Spans = chunk.regex_spans) -> DataFrame:
-        """Chunks with ids, vectors and places: pos orders them by source and place in it."""
-        rows = chunk.chunk_documents(docs, spans=spans)
+    def placed(self, docs: DataFrame, spans: chunk.Spans = chunk.regex_spans) -> DataFrame:
+        """Chunks with ids and places: pos orders them by source and place in it."""
+        # Documents are dealt in ranges of their sources before they are cut: few large files keep all tasks busy, no text is
+        # cut twice to find the ranges, and the ids that Spark gives grow with (source, place), without one sort.
+        dealt = docs.select(normalized_source(F.col("source")).alias("source"), "text").repartitionByRange("source")
+        rows = chunk.chunk_documents(dealt, spans=spans)
+        rows = rows.sortWithinPartitions("source", "pos").withColumn("pos", F.monotonically_increasing_id())
         known = self.spark.createDataFrame(self.glossary, files.GLOSSARY) if self.glossary else None
-        rows = bm25.topic_text(F.col("source"), known, rows, self.topic_prefix)
-        # Range partitions in order of the source: the ids that Spark gives then grow with (source, place), without one sort.
-        placed = rows.repartitionByRange("source").sortWithinPartitions("source", "pos").withColumn("pos", F.monotonically_increasing_id())
-        return placed.withColumn("embedding", self.embedder.embed(F.col("text")))
+        return bm25.topic_text(F.col("source"), known, rows, self.topic_prefix)
+
+    def chunks(self, docs: DataFrame, spans: chunk.Spans = chunk.regex_spans) -> DataFrame:
+        """Chunks with ids, vectors and places."""
+        return self.placed(docs, spans).withColumn("embedding", embed_table(self.embedder, F.col("text")))
 
     def build(self, corpus_dir: str, force: bool = False, append: bool = False, progress: Callable[[str], None] | None = None) -> dict:
         """Builds a snapshot of a folder's Markdown files and makes it the active one. append takes over a changed corpus and
@@ -141,10 +157,10 @@ class Index:
             try:
                 say(f"{n_files} files")
                 path = str(snapshot)
-                found = self.chunks(docs)
+                found = self.placed(docs)
                 if repeats == "first":
                     found = found.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).filter("_nth = 1").drop("_nth")
-                found.write.parquet(f"{path}/chunks")
+                found.withColumn("embedding", embed_table(self.embedder, F.col("text"))).write.parquet(f"{path}/chunks")
                 written = self.spark.read.parquet(f"{path}/chunks")
                 sizes = written.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).first()
                 if not sizes.n:
@@ -196,7 +212,7 @@ class Index:
             own = chunks.select("id", "source", "heading", F.coalesce("type", F.lit("content")).alias("type"), "text")
             return near.join(own, "id").select("query_id", "id", "source", "heading", "type", "score", F.col("score").alias("raw_score"), "rank", "text")
         near = fuse.cosine_topk(chunks, vectors, bm25.CANDIDATES, n_queries=n_queries)
-        lexical = bm25.search(postings, asked, bm25.CANDIDATES)
+        lexical = bm25.search(postings, asked, bm25.CANDIDATES, n_queries=n_queries)
         return fuse.finish(fuse.rrf([near, lexical]), chunks, top_k, demote_frontmatter).select("query_id", "id", "source", "heading", "type", "score", "raw_score", "rank", "text")
 
     def search_texts(self, texts: dict[str, str], top_k: int = 5, profile: str = "hybrid", demote_frontmatter: bool = False) -> DataFrame:

@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.functions.vectors import clamp, cosine
 from spindrift.operators import bm25, diff, evaluate, fuse
 from spindrift.operators.expand import Expander
 from spindrift.plans.index import HashingEmbedder, Index, format_results
@@ -136,3 +138,46 @@ def test_diffs_and_metrics(spark):
     first = spark.createDataFrame([("a", 1), ("b", 4), ("c", None)], "query_id string, first int")
     assert evaluate.recall_at_k(first).first()[0] == pytest.approx(1 / 3) and evaluate.mrr_at_k(first).first()[0] == pytest.approx((1 + 0.25) / 3)
     assert evaluate.recall_at_k(first.limit(0)).first()[0] is None
+
+
+def test_searches_hand_on_only_the_best_of_each_task(spark, tmp_path):
+    """Of 3000 documents that all share a term with every query, few scores leave the tasks; ranks and ties are those of all scores."""
+    rows = [(i, f"id{i}", "", "", " ".join(["common", "w%d" % (i % 7), *(["rare"] if i % 50 == 0 else [])])) for i in range(3000)]
+    chunks = spark.createDataFrame(rows, "pos long, id string, heading string, topic_text string, text string").repartition(3)
+    index = bm25.save_postings(chunks, str(tmp_path / "index"))
+    queries = spark.createDataFrame([("a", "common"), ("b", "common w3 w3 rare"), ("c", "none")], "query_id string, text string")
+    few = bm25.nearest(index, queries, 5)
+    assert few.count() <= 5 * 2 * 3 * few.rdd.getNumPartitions()
+    want = bm25.top(bm25.scores(index, queries), 5)
+    key = lambda df: sorted((r.query_id, r["rank"], r.pos, r.score) for r in df.collect())
+    assert key(bm25.search(index, queries, 5)) == key(want)
+    assert key(bm25.search(index, queries, 5, n_queries=10**5)) == key(want)  # several blocks of queries
+
+
+def test_cosine_search_by_matrices_gives_the_rows_of_the_expression(spark):
+    rng = np.random.default_rng(5)
+    v = [x.tolist() for x in rng.normal(size=(300, 8))]
+    v += [v[3]] * 40 + [[0.0] * 8, None, [1.0] * 7, [None, *[1.0] * 7], [float("nan")] * 8, [1e-170] * 8, [1e160] * 8]
+    frame = spark.createDataFrame([(f"i{i:03}", x) for i, x in enumerate(v)], "id string, embedding array<double>").repartition(3)
+    asked = [v[3], v[7], [0.0] * 8, [1.0] * 8, [1.0] * 7, None]
+    queries = spark.createDataFrame([(f"q{i}", x) for i, x in enumerate(asked)], "query_id string, qvec array<double>")
+    pairs = frame.crossJoin(queries).select("query_id", "id", F.round(clamp(cosine(F.col("embedding"), F.col("qvec"))), 9).alias("score"))
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, r.score) for r in df.collect())
+    for limit in (1, 10, 50, 1000):
+        assert key(fuse.cosine_topk(frame, queries, limit)) == key(bm25.top(pairs, limit, tie="id"))
+    assert key(fuse.cosine_topk(frame, queries, 10, n_queries=10**4)) == key(bm25.top(pairs, 10, tie="id"))
+    assert fuse.cosine_topk(frame, queries, 0).count() == 0
+
+
+def test_vectors_of_tables_are_those_of_the_expression(spark):
+    e = HashingEmbedder()
+    rows = spark.createDataFrame([("The THE the 走路 ab",), ("",), (None,), ("ünder x  \ty",)], "text string")
+    for r in rows.select(e.embed(F.col("text")).alias("a"), e.embed_table(F.col("text")).alias("b"), "text").collect():
+        assert r.a == r.b or r.text is None
+
+
+def test_documents_of_one_file_are_cut_by_several_tasks(spark, tmp_path):
+    docs = spark.createDataFrame([(f"s/{i}.md", " ".join(map(str, words))) for i, words in enumerate(np.random.default_rng(1).integers(0, 1 << 40, (400, 800)).tolist())], "source string, text string").coalesce(1)
+    placed = Index(spark, str(tmp_path)).placed(docs)
+    rows = placed.orderBy("pos").select("source", F.shiftright("pos", 33).alias("task")).collect()
+    assert len({r.task for r in rows}) > 1 and [r.source for r in rows] == sorted(r.source for r in rows)
