@@ -18,6 +18,8 @@ from .expand import MOST
 
 #: Entries of one and the same name that can claim places in one query.
 SAME = 4096
+#: First characters by which names are told that no query holds, and beginnings in queries up to which these are broadcast.
+BEGIN, MOST_HELD = 12, 2_000_000
 
 
 def entries(glossary: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
@@ -44,6 +46,18 @@ def claim(text: str, found: list[tuple[tuple, str, list[int]]]) -> list[tuple]:
     return out
 
 
+def possible(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """The names whose first BEGIN characters (all, of shorter ones) some query (text, normalised) holds. No other name can be in
+    a query, so what is written of names grows with what the queries hold, not with the names."""
+    ends = F.explode(F.sequence(F.lit(1), F.lit(BEGIN))).alias("n")
+    cut = asked.filter("text <> ''").select("text", ends).filter(F.length("text") >= F.col("n"))
+    parts = cut.select("n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("i"), "text")
+    held = parts.select(F.xxhash64(F.col("text").substr(F.col("i"), F.col("n"))).alias("_begin")).distinct()
+    few = held.limit(MOST_HELD + 1).count() <= MOST_HELD
+    begin = F.xxhash64(F.col("name").substr(1, BEGIN))
+    return names.withColumn("_begin", begin).join(F.broadcast(held) if few else held, "_begin", "left_semi").drop("_begin")
+
+
 def expand(queries: DataFrame, names: DataFrame, path: str) -> DataFrame:
     """query_id, text: normalised queries (query_id unique, text) with at most MOST additions, as Expander gives them. names:
     number (of any type that has an order, unique within a kind), kind, name (normalised), gives. Null queries stay null.
@@ -51,15 +65,16 @@ def expand(queries: DataFrame, names: DataFrame, path: str) -> DataFrame:
     Names are any number: their automata and numbers lie below a shared folder. Phrases are for queries with CJK characters.
     """
     spark = queries.sparkSession
+    asked = queries.select("query_id", normalize(F.col("text")).alias("text"))
+    asked.write.parquet(f"{path}/queries")
+    asked = spark.read.parquet(f"{path}/queries")
+    names = possible(asked, names)
     nth = Window.partitionBy("name", "kind").orderBy("number")  # cut before it is shuffled
     few = names.filter("name <> ''").withColumn("_nth", F.row_number().over(nth)).filter(F.col("_nth") <= SAME)
     ranked = few.select("name", "kind", "_nth", "number", "gives")
     ranked.write.parquet(f"{path}/names")
     stored = spark.read.parquet(f"{path}/names")
     matcher = patterns.build(stored.select("name"), path, "name")
-    asked = queries.select("query_id", normalize(F.col("text")).alias("text"))
-    asked.write.parquet(f"{path}/queries")
-    asked = spark.read.parquet(f"{path}/queries")
 
     def places(batches):
         for b in batches:

@@ -21,3 +21,12 @@ def test_expansion_is_that_of_the_expander(spark, tmp_path):
 def test_claims():
     found = [((0, 1), "ab", [0, 3]), ((0, 2), "abc", [0]), ((0, 3), "ab", [0, 3]), ((1, 1), "abcab", [0])]
     assert names.claim("abcab", found) == [(0, 2), (0, 1)]
+
+
+def test_only_names_that_queries_can_hold_are_written(spark, tmp_path):
+    asked = spark.createDataFrame([(1, "the walking speed of it"), (2, None), (3, "ab")], "query_id long, text string")
+    rows = [(i, 0, f"other name {i:05}", ["x"]) for i in range(2000)] + [(5000, 0, "walking speed", ["w"]), (5001, 0, "ab", ["short"]), (5002, 0, "walking speed at", ["no"])]
+    table = spark.createDataFrame(rows, "number long, kind int, name string, gives array<string>")
+    got = {r.query_id: r.text for r in names.expand(asked, table, str(tmp_path / "x")).collect()}
+    assert got == {1: "the walking speed of it w", 2: None, 3: "ab short"}
+    assert spark.read.parquet(str(tmp_path / "x" / "names")).count() == 3
