@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, by_bytes, map_file, materialize, resident, shared_dir, table, text_of, write_file
@@ -256,6 +256,34 @@ def perplexities(docs: DataFrame, store: Store, lang_col: str = "lang", text_col
     return rows.mapInArrow(run, typed)
 
 
+def quantiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """_lang, n and, under their names, exact quantiles of v by linear interpolation, of rows (_lang, v).
+
+    Distinct values are counted and dealt by ranges, and a range starts to count where the ranges before it end, so a language's
+    values need not meet in one task.
+    """
+    counted = values.groupBy("_lang", "v").agg(F.count(F.lit(1)).alias("c"))
+    dealt = materialize(counted.repartitionByRange("_lang", "v").withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("_lang").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = dealt.groupBy("_lang", "_range").agg(F.sum("c").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    n = dealt.groupBy("_lang").agg(F.sum("c").alias("n"))
+    within = F.sum("c").over(Window.partitionBy("_lang", "_range").orderBy("v"))
+    placed = dealt.withColumn("_upto", within).join(starts, ["_lang", "_range"]).withColumn("upto", F.col("_upto") + F.col("_before")).join(n, "_lang")
+    holds = lambda at: (F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)
+    columns = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("n") - 1)
+        columns += [F.max(F.when(holds(f(place)), F.col("v"))).alias(f"{name}{i}") for i, f in enumerate((F.floor, F.ceil))]
+    found = placed.groupBy("_lang", "n").agg(*columns)
+
+    def between(name: str, share: float):
+        place = F.lit(share) * (F.col("n") - 1)
+        lo, hi = F.col(f"{name}0"), F.col(f"{name}1")
+        return F.when(F.floor(place) == F.ceil(place), lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi).alias(name)
+
+    return found.select("_lang", "n", *(between(name, share) for name, share in shares.items()))
+
+
 @dataclass(frozen=True)
 class Quality:
     """A model and its thresholds: _lang, low, middle, high of -log10 probability for each character."""
@@ -269,8 +297,8 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     order: int = 4,
-    train_docs: int = 10_000,
-    threshold_docs: int = 10_000,
+    train_docs: int | None = None,
+    threshold_docs: int | None = None,
     tail: float = 0.001,
     widen: float = 4.0,
     id_col: str = "doc_id",
@@ -280,9 +308,8 @@ def fit(
 ) -> Quality:
     """Fits on trusted documents: quality 1 and not toxic.
 
-    By hash of the id, seven tenths of these are for training and the others for thresholds; of each, and of each language,
-    about train_docs or threshold_docs are taken by their hashes (all, where there are no more), so the cost of fitting is
-    bounded and a rare language is not crowded out. A language's limits are the quantiles tail and 1 - tail of its n held-out
+    By hash of the id, seven tenths of these are for training and the others for thresholds: all of them, unless train_docs or
+    threshold_docs says how many of each language, about, are taken by their hashes. A language's limits are the quantiles tail and 1 - tail of its n held-out
     documents, moved away from the median by widen / sqrt(n) of their distance from it: what so many values leave uncertain.
 
     Quantiles of n < least_held held-out documents tell little: such a language's distances are at least those of all
@@ -296,17 +323,16 @@ def fit(
     found = materialize(found.withColumn("_train", F.pmod("_h", F.lit(10)) < 7), "trusted-ids")
     sizes = materialize(found.groupBy("lang", "_train").agg(F.count(F.lit(1)).alias("_n")), "trusted-sizes")
     most = F.when(F.col("_train"), F.lit(train_docs)).otherwise(F.lit(threshold_docs))
-    least = F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53)) < most / F.col("_n")
+    least = F.coalesce(F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53)) < most / F.col("_n"), F.lit(True))
     picked = materialize(found.join(broadcast_if_small(sizes, sizes.count(), 64), ["lang", "_train"]).filter(least).select("_id", "lang", "_train"), "picked")
 
     def chosen(part: DataFrame) -> DataFrame:
-        return materialize(rows.join(broadcast_if_small(part, part.count(), 64), ["_id", "lang"], "left_semi").select("lang", "text"), "trusted")
+        return rows.join(broadcast_if_small(part, part.count(), 64), ["_id", "lang"], "left_semi").select("lang", "text")
 
     store = train(chosen(picked.filter("_train")), order)
     held = perplexities(chosen(picked.filter("not _train")), store).filter("_chars > 0").select("_lang", (-F.col("_log10") / F.col("_chars")).alias("v"))
     held = materialize(held, "held-out")
-    q = held.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.percentile("v", [tail, 0.5, 1 - tail]).alias("q"))
-    q = materialize(q.select("_lang", "n", *(F.col("q")[i].alias(c) for i, c in enumerate(("least", "middle", "most")))), "quantiles")
+    q = materialize(quantiles(held, {"least": tail, "middle": 0.5, "most": 1 - tail}), "quantiles")
     languages = q.count()
     off = (F.col("v") / F.col("middle") - 1) * F.sqrt(F.col("n") / (F.col("n") - 1))
     every = held.join(broadcast_if_small(q, languages, 64), "_lang").filter("n > 1").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(off, [tail, 1 - tail], 10_000).alias("q")).first()

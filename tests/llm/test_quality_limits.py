@@ -94,3 +94,24 @@ def test_perplexity_and_verdict_of_documents_by_brute_force(spark):
             assert got[i].kept == (middle - (middle - low) * far <= value <= middle + (high - middle) * far)
             judged += 1
     assert judged > 50
+
+
+def test_quantiles_are_exact(spark):
+    r = np.random.default_rng(3)
+    values = {"a": r.normal(size=3000).round(2), "b": r.normal(size=11), "c": np.array([2.5])}
+    frame = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "_lang string, v double").repartition(5)
+    for row in quality.quantiles(frame, {"least": 0.001, "middle": 0.5, "most": 0.999}).collect():
+        want = np.quantile(values[row._lang], [0.001, 0.5, 0.999])
+        assert row.n == len(values[row._lang]) and np.allclose([row.least, row.middle, row.most], want, rtol=1e-12, atol=0)
+
+
+def test_all_trusted_documents_are_used(spark, monkeypatch):
+    """Over ten thousand trusted documents of one language: none is left out of the counts or of the thresholds."""
+    train, held = folds(spark, 45_000)
+    docs = spark.range(45_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id").cast("string"), F.lit("word")).alias("text"), F.lit("en").alias("lang"))
+    seen = {}
+    real, quant = quality.train, quality.quantiles
+    monkeypatch.setattr(quality, "train", lambda rows, *a: seen.setdefault("train", rows.count()) and real(rows.limit(100), *a))
+    monkeypatch.setattr(quality, "quantiles", lambda rows, shares: seen.setdefault("held", rows.count()) and quant(rows, shares))
+    quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert seen == {"train": len(train), "held": len(held)} and len(held) > 10_000
