@@ -531,7 +531,7 @@ def profile_stats(spark, sf_dir):
 def _copied(index: Index) -> None:
     """The active snapshot once more, as a new one, and active."""
     old, new = index.store.current(), index.store.create()
-    for table in ("chunks", *bm25.TABLES, "documents", "frequencies"):
+    for table in ("chunks", *bm25.TABLES):
         shutil.copytree(old / table, new / table)
     index.store.write_manifest(new, index.store.manifest(old))
     index.store.activate(new)

@@ -104,7 +104,7 @@ class Segments:
             n, length = n - state["dead_chunks"], length - state["dead_length"]
         terms = terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
         corpus = local(self.spark, [(n, length / n if n else 0.0)], "n_docs long, avg_length double")
-        return bm25.Postings(self._living(state, self._each(state, "postings")), self._living(state, self._each(state, "stats")), corpus, terms)
+        return bm25.Postings(self._living(state, self._each(state, "postings")), self._living(state, self._each(state, "stats")), corpus, terms, self._living(state, self._each(state, "documents")))
 
     # Updating
     def update(self, docs: DataFrame, repeats: str = "first") -> dict:
@@ -159,7 +159,7 @@ class Segments:
     def _tombstones(self, state: dict, every: DataFrame, name: str) -> dict:
         self._each(state, "stats").join(every, "pos", "left_semi").select("pos", "length").write.parquet(f"{self.root}/{name}/chunks")
         written = self.spark.read.parquet(f"{self.root}/{name}/chunks")
-        terms = self._each(state, "frequencies").join(written.select("pos"), "pos", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        terms = self._each(state, "documents").join(written.select("pos"), "pos", "left_semi").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         terms.write.parquet(f"{self.root}/{name}/terms")
         sizes = written.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length")).first()
         return {"dead": name, "dead_chunks": sizes.n, "dead_length": sizes.length} if sizes.n else {}
@@ -178,7 +178,7 @@ class Segments:
         names, name = [s["name"] for s in chosen], f"seg-{seq}-{uuid.uuid4().hex[:8]}"
         rows = self._living(state, self._each(state, "chunks", names))
         rows.repartitionByRange("pos").sortWithinPartitions("pos").write.parquet(f"{self.root}/{name}/chunks")
-        self._living(state, self._each(state, "frequencies", names)).write.parquet(f"{self.root}/{name}/frequencies")
+        self._living(state, self._each(state, "documents", names)).write.parquet(f"{self.root}/{name}/documents")
         one = self._measured(name, bm25.save_tables(self.spark.read.parquet(f"{self.root}/{name}/chunks"), f"{self.root}/{name}"))
         rest = [s for s in state["segments"] if s not in chosen]
         new = state | {"segments": [*rest, *([one] if one["chunks"] else [])], "dead": None, "dead_chunks": 0, "dead_length": 0.0}
