@@ -191,10 +191,12 @@ def dictionary_grounding(docs: DataFrame, concepts: DataFrame, text: str = "text
 
 
 def grounded(docs: DataFrame, concepts: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """The same for any number of concepts: automata of the normalised ones are written below a shared folder, and each text
-    passes through each once. A concept of which normalising leaves nothing is in every text."""
-    named = concepts.select("concept").distinct().withColumn("pattern", normalize(F.col("concept")))
-    found = patterns.present(docs.select(normalize(F.col(text)).alias("text")), patterns.build(named, path))
+    """The same for any number of concepts: automata and tables of the normalised ones are written below a shared folder, and
+    each distinct text passes each once. A concept of which normalising leaves nothing is in every text."""
+    concepts.select("concept").distinct().withColumn("pattern", normalize(F.col("concept"))).write.parquet(f"{path}/concepts")
+    named = docs.sparkSession.read.parquet(f"{path}/concepts")
+    texts = docs.select(F.col(text).alias("text")).distinct().select(normalize(F.col("text")).alias("text"))
+    found = patterns.present(texts, patterns.build(named, path, windows=True))
     some = not docs.filter(F.col(text).isNotNull()).isEmpty()
     hit = F.coalesce(F.col("_found"), F.lit(False)) | ((F.col("pattern") == "") & F.lit(some))
     return named.join(found.withColumn("_found", F.lit(True)), "pattern", "left").select("concept", F.coalesce(hit, F.lit(False)).alias("grounded"))
