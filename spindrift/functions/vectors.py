@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -75,13 +76,16 @@ class _Buckets(dict):
         return found
 
 
-def hash_embedding_batches(spaced: Column, dimension: int = 64) -> Column:
-    """hash_embedding of the words between the spaces of a column, for tables: a batch of texts hashes each word once."""
+def hash_embedding_batches(text: Column, dimension: int = 64, single: str | None = None) -> Column:
+    """hash_embedding of the words between the white space of a column (what functions.text.SPACE matches), for tables: a batch
+    of texts hashes each word once. Characters that the pattern `single` matches are words of their own."""
+    alone = re.compile(f"({single})") if single else None
 
     def run(texts: pd.Series) -> pd.Series:
         known, out = _Buckets(), []
         for text in texts:
-            words = [w for w in (text or "").split(" ") if w]
+            text = text or ""
+            words = (alone.sub(r" \1 ", text) if alone and not text.isascii() else text).split()
             if len(known) > KNOWN:
                 known.clear()
             counts = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)) % dimension, minlength=dimension).astype(np.float64)
@@ -89,4 +93,4 @@ def hash_embedding_batches(spaced: Column, dimension: int = 64) -> Column:
             out.append(counts / length if length > 0 else counts)
         return pd.Series(out, index=texts.index)
 
-    return F.pandas_udf(run, "array<double>")(spaced)
+    return F.pandas_udf(run, "array<double>")(text)

@@ -57,7 +57,7 @@ class HashingEmbedder:
 
     def embed_table(self, text: Column) -> Column:
         """The same vectors for whole tables, by Arrow batches."""
-        return hash_embedding_batches(self._spaced(text), self.dimension)
+        return hash_embedding_batches(F.lower(text), self.dimension, "[\u3400-\u9fff]")
 
 
 def embed_table(embedder: Embedder, text: Column) -> Column:

@@ -15,7 +15,7 @@ import json
 import posixpath
 import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,7 +25,7 @@ from ..functions.local import local
 from ..functions.text import normalized_source
 from ..operators import bm25, chunk, diff, expand, fuse
 from ..sources import files
-from .index import Embedder, HashingEmbedder
+from .index import Embedder, HashingEmbedder, embed_table
 from .scratch import filesystem
 from .store import IndexNotFound, IndexProblem
 
@@ -33,6 +33,8 @@ from .store import IndexNotFound, IndexProblem
 SHIFT = 50
 #: Segments of one size (within a factor of FACTOR) that are merged, and the share of dead chunks from which all are.
 TIER, FACTOR, MOST_DEAD = 4, 4, 0.25
+#: Tombstones that travel to the tasks; more are joined by a shuffle.
+MOST_SENT = 1 << 20
 CHUNK = ("pos", "place", "id", "source", "heading", "type", "text", "embedding")
 
 
@@ -78,7 +80,10 @@ class Segments:
         return reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.root}/{s}/{table}") for s in names or [s["name"] for s in state["segments"]]))
 
     def _living(self, state: dict, rows: DataFrame) -> DataFrame:
-        return rows.join(self.spark.read.parquet(f"{self.root}/{state['dead']}/chunks").select("pos"), "pos", "left_anti") if state["dead"] else rows
+        if not state["dead"]:
+            return rows
+        dead = self.spark.read.parquet(f"{self.root}/{state['dead']}/chunks").select("pos")
+        return rows.join(F.broadcast(dead) if state["dead_chunks"] <= MOST_SENT else dead, "pos", "left_anti")
 
     def chunks(self, state: dict | None = None) -> DataFrame:
         """The living chunks: pos, place (in the document), id, source, heading, type, text, embedding."""
@@ -104,7 +109,8 @@ class Segments:
             n, length = n - state["dead_chunks"], length - state["dead_length"]
         terms = terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
         corpus = local(self.spark, [(n, length / n if n else 0.0)], "n_docs long, avg_length double")
-        return bm25.Postings(self._living(state, self._each(state, "postings")), self._living(state, self._each(state, "stats")), corpus, terms, self._living(state, self._each(state, "documents")))
+        documents = self._living(state, self._each(state, "documents"))
+        return bm25.Postings(bm25.exploded(documents), self._living(state, self._each(state, "stats")), corpus, terms, documents)
 
     # Updating
     def update(self, docs: DataFrame, repeats: str = "first") -> dict:
@@ -115,13 +121,17 @@ class Segments:
         here = docs.filter("text is not null and source is not null").select(normalized_source(F.col("source")).alias("source"), "text")
         hashed = here.select("source", F.sha2("text", 256).alias("hash"))
         log, name = f"docs-{seq}-{uuid.uuid4().hex[:8]}", f"seg-{seq}-{uuid.uuid4().hex[:8]}"
-        states = diff.manifest_diff(self._known(state), hashed, "source", "hash")
-        entries = states.join(hashed, "source", "left").select("source", F.when(F.col("state") != "missing", F.col("hash")).alias("hash"), F.lit(seq).alias("seq"))
-        entries.write.parquet(f"{self.root}/{log}")
+        entries = hashed
+        if state["documents"]:
+            states = diff.manifest_diff(self._known(state), hashed, "source", "hash")
+            entries = states.join(hashed, "source", "left").select("source", F.when(F.col("state") != "missing", F.col("hash")).alias("hash"))
+        entries.withColumn("seq", F.lit(seq)).write.parquet(f"{self.root}/{log}")
         touched = self.spark.read.parquet(f"{self.root}/{log}")
         if touched.isEmpty():
             return {"generation": state["generation"], "documents": 0, "added": 0, "removed": 0, "embedded": 0}
-        found = chunk.chunk_documents(here.join(touched.filter("hash is not null").select("source"), "source", "left_semi"))
+        if state["documents"]:
+            here = here.join(touched.filter("hash is not null").select("source"), "source", "left_semi")
+        found = chunk.chunk_documents(here.repartition("source"))  # one file may be one task
         known = self.spark.createDataFrame(self.glossary, files.GLOSSARY) if self.glossary else None
         found = bm25.topic_text(F.col("source"), known, found, self.topic_prefix).withColumnRenamed("pos", "place").drop("section")
         first = Window.partitionBy("id").orderBy("place")
@@ -137,15 +147,23 @@ class Segments:
             found = found.join(old.select("id", "place"), ["id", "place"], "left_anti")
         dead = self._bury(state, gone, seq)
         placed = found.repartitionByRange("source").sortWithinPartitions("source", "place").withColumn("pos", F.lit(seq << SHIFT) + F.monotonically_increasing_id())
-        placed.withColumn("embedding", self.embedder.embed(F.col("text"))).write.parquet(f"{self.root}/{name}/chunks")
-        segment = self._measured(name, bm25.save_postings(self.spark.read.parquet(f"{self.root}/{name}/chunks"), f"{self.root}/{name}"))
+        placed.withColumn("embedding", embed_table(self.embedder, F.col("text"))).write.parquet(f"{self.root}/{name}/chunks")
+        keyed = self.spark.read.parquet(f"{self.root}/{name}/chunks").withColumn("pos", F.struct("pos", "source", "place"))
+        bm25.document_terms(keyed).select("pos.*", "length", "terms", "freqs").write.parquet(f"{self.root}/{name}/documents")
+        segment = self._measured(name)
         removed = dead.get("dead_chunks", 0) - state.get("dead_chunks", 0)
         new = {"generation": seq, "segments": [*state["segments"], *([segment] if segment["chunks"] else [])], "documents": [*state["documents"], log], "dead": None, **dead}
         self._activate(self._merged(new, seq))
         return {"generation": seq, "documents": touched.count(), "added": segment["chunks"], "removed": removed, "embedded": segment["chunks"]}
 
-    def _measured(self, name: str, made: bm25.Postings) -> dict:
-        sizes = made.stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length")).first()
+    def _measured(self, name: str) -> dict:
+        """A segment whose chunks and documents are written: writes its other tables. Searches take tables of queries to the
+        documents' terms, so postings are not written beside these."""
+        path = f"{self.root}/{name}"
+        chunks, documents = (self.spark.read.parquet(f"{path}/{t}") for t in ("chunks", "documents"))
+        bm25.term_counts(documents).write.parquet(f"{path}/terms")
+        bm25.stats_of(chunks, documents.select("pos", "length")).write.parquet(f"{path}/stats")
+        sizes = self.spark.read.parquet(f"{path}/stats").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length")).first()
         return {"name": name, "chunks": sizes.n, "length": sizes.length}
 
     def _bury(self, state: dict, gone: DataFrame | None, seq: int) -> dict:
@@ -159,8 +177,7 @@ class Segments:
     def _tombstones(self, state: dict, every: DataFrame, name: str) -> dict:
         self._each(state, "stats").join(every, "pos", "left_semi").select("pos", "length").write.parquet(f"{self.root}/{name}/chunks")
         written = self.spark.read.parquet(f"{self.root}/{name}/chunks")
-        terms = self._each(state, "documents").join(written.select("pos"), "pos", "left_semi").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        terms.write.parquet(f"{self.root}/{name}/terms")
+        bm25.term_counts(self._each(state, "documents").join(written.select("pos"), "pos", "left_semi")).write.parquet(f"{self.root}/{name}/terms")
         sizes = written.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("length")).first()
         return {"dead": name, "dead_chunks": sizes.n, "dead_length": sizes.length} if sizes.n else {}
 
@@ -179,7 +196,7 @@ class Segments:
         rows = self._living(state, self._each(state, "chunks", names))
         rows.repartitionByRange("pos").sortWithinPartitions("pos").write.parquet(f"{self.root}/{name}/chunks")
         self._living(state, self._each(state, "documents", names)).write.parquet(f"{self.root}/{name}/documents")
-        one = self._measured(name, bm25.save_tables(self.spark.read.parquet(f"{self.root}/{name}/chunks"), f"{self.root}/{name}"))
+        one = self._measured(name)
         rest = [s for s in state["segments"] if s not in chosen]
         new = state | {"segments": [*rest, *([one] if one["chunks"] else [])], "dead": None, "dead_chunks": 0, "dead_length": 0.0}
         if state["dead"] and rest:  # tombstones of the others stay
@@ -195,8 +212,12 @@ class Segments:
         asked = queries.select("query_id", self.expander.column(F.col("text")).alias("text"))
         vectors = asked.select("query_id", self.embedder.embed(F.col("text")).alias("qvec"))
         near = fuse.cosine_topk(chunks, vectors, bm25.CANDIDATES, n_queries=n_queries)
-        level = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))  # all that tie with the last
-        tied = bm25.scores(self.postings(state), asked).withColumn("_level", level).filter(F.col("_level") <= bm25.CANDIDATES)
-        placed = tied.join(chunks.select("pos", "id", F.struct("source", "place").alias("order")), "pos")
-        lexical = bm25.top(placed, bm25.CANDIDATES, tie="order").select("query_id", "id", "rank")
+        lexical = self._lexical(state, chunks, asked, n_queries)
         return fuse.finish(fuse.rrf([near, lexical]), chunks, top_k, demote_frontmatter).select("query_id", "id", "source", "heading", "type", "score", "raw_score", "rank", "text")
+
+    def _lexical(self, state: dict, chunks: DataFrame, asked: DataFrame, n_queries: int | None) -> DataFrame:
+        """query_id, id, rank: the best by BM25, equal scores in the order of source and place."""
+        index = self.postings(state)
+        keyed = replace(index, documents=index.documents.withColumn("pos", F.struct("source", "place", "pos")))
+        best = bm25.top(bm25.nearest(keyed, asked, bm25.CANDIDATES, n_queries=n_queries), bm25.CANDIDATES)
+        return best.select("query_id", "rank", F.col("pos.pos").alias("pos")).join(chunks.select("pos", "id"), "pos").select("query_id", "id", "rank")

@@ -70,3 +70,30 @@ def test_a_failed_update_changes_nothing(spark, tmp_path):
         index.update(corpus(spark, BASE[:9]))
     index.embedder = segments.HashingEmbedder()
     assert index.state()["generation"] == 1 and hits(spark, index) == before
+
+
+def test_equal_scores_stand_in_the_order_of_sources_after_merges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "TIER", 2)
+    index = segments.Segments(spark, str(tmp_path / "index"))
+    rows = [(f"topic/{chr(122 - i // 26)}{chr(122 - i % 26)}.md", f"walk the same words {i:02d}") for i in range(60)]
+    index.update(corpus(spark, rows[:30]))
+    index.update(corpus(spark, rows))  # later sources come first
+    (name,) = [s["name"] for s in index.state()["segments"]]
+    asked = spark.createDataFrame([("q", "walk")], "query_id string, text string")
+    found = index._lexical(index.state(), index.chunks(), asked, 1).join(index.chunks().select("id", "source"), "id")
+    assert [r.source for r in found.orderBy("rank").collect()] == sorted(s for s, _ in rows)[:30]
+    assert not (tmp_path / "index" / name / "postings").exists()  # no list of postings is sorted and written for an update
+
+
+def test_whole_tables_are_embedded_by_batches(spark, tmp_path):
+    index = segments.Segments(spark, str(tmp_path / "index"))
+    asked_for = []
+
+    class Tables(segments.HashingEmbedder):
+        def embed_table(self, text):
+            asked_for.append("table")
+            return super().embed_table(text)
+
+    index.embedder = Tables()
+    index.update(corpus(spark, BASE[:4]))
+    assert asked_for == ["table"]

@@ -1,5 +1,6 @@
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
@@ -51,3 +52,14 @@ def test_hash_embedding_is_a_unit_vector(spark):
     v = values(spark, ["b a b"], V.hash_embedding(F.split("t", " ")))[0]
     at = {w: hashlib.md5(w.encode()).digest()[0] % 64 for w in "ab"}
     assert abs(sum(x * x for x in v) - 1) < 1e-9 and abs(v[at["b"]] - 2 * v[at["a"]]) < 1e-9
+
+
+def test_tables_are_embedded_as_single_texts(spark):
+    from spindrift.plans.index import HashingEmbedder
+
+    spaces = "".join(map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+    texts = [(i, t) for i, t in enumerate(["Foo foo　BAR", "漢字 and漢more", "x".join(spaces), "​x ᠎y ﻿z", "ÉCOLE ΣΑΣ", "", None])]
+    e = HashingEmbedder()
+    docs = spark.createDataFrame(texts, "i int, text string")
+    for r in docs.select("i", e.embed(F.col("text")).alias("a"), e.embed_table(F.col("text")).alias("b")).collect():
+        assert (r.a or [0.0] * 64) == pytest.approx(r.b), texts[r.i]
