@@ -68,10 +68,10 @@ _SAVED: dict[tuple[str, str], bm25.Postings] = {}
 
 
 def saved(spark: SparkSession, sf_dir: str) -> bm25.Postings:
-    """The postings of the corpus view, written once for each session; searches read them."""
+    """The documents' terms of the corpus view, written once for each session; searches read them."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _SAVED:
-        _SAVED[key] = bm25.save_postings(corpus(spark, sf_dir, topic=True), scratch(spark))
+        _SAVED[key] = bm25.save_postings(corpus(spark, sf_dir, topic=True), scratch(spark), lists=False)
     return _SAVED[key]
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.local import local
-from .bm25 import CANDIDATES, DIGITS, SHORT_PAGES, Postings, any_of, impact, query_terms, scores, spans, top, weight
+from .bm25 import CANDIDATES, DIGITS, SHORT_PAGES, Postings, any_of, exploded, impact, nearest, query_terms, spans, top, weight
 
 #: Postings of each term that the first step reads.
 HEAD = 64
@@ -36,7 +36,7 @@ SLACK = 1e-8
 @dataclass(frozen=True)
 class Impacts:
     """impacts (term, impact, pos) sorted by term and falling impact; levels (term, df, top, cut), cut being the HEAD-th
-    impact; documents (pos, term, freq, length) sorted by pos; n_docs and avg_length."""
+    impact; documents (pos, length, terms, freqs), those of the postings; n_docs and avg_length."""
 
     impacts: DataFrame
     levels: DataFrame
@@ -47,24 +47,24 @@ class Impacts:
 
 
 def save_impacts(index: Postings, path: str) -> Impacts:
-    """Writes the three tables below a folder. A term's postings may lie in many files: they are dealt by term and impact."""
-    spark = index.postings.sparkSession
-    rows = index.postings.crossJoin(F.broadcast(index.corpus)).select("term", impact(F.col("avg_length")).alias("impact"), "pos")  # one row
+    """Writes impacts and levels below a folder. A term's postings may lie in many files: they are dealt by term and impact.
+    The postings are shuffled once; documents are looked up in the table that the index has."""
+    spark = index.documents.sparkSession
+    rows = exploded(index.documents).crossJoin(F.broadcast(index.corpus)).select("term", impact(F.col("avg_length")).alias("impact"), "pos")  # one row
     rows.repartitionByRange("term", F.desc("impact")).sortWithinPartitions("term", F.desc("impact"), "pos").write.options(**SHORT_PAGES).parquet(f"{path}/impacts")
     written = spark.read.parquet(f"{path}/impacts")
     best = Window.partitionBy("term").orderBy(F.desc("impact"))  # cut to HEAD rows of each term before it is shuffled
     heads = written.select("term", "impact").withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= HEAD)
     levels = heads.groupBy("term").agg(F.max("impact").alias("top"), F.min("impact").alias("cut")).join(index.terms, "term").select("term", "df", "top", "cut")
     levels.repartitionByRange("term").sortWithinPartitions("term").write.options(**SHORT_PAGES).parquet(f"{path}/levels")
-    index.postings.repartitionByRange("pos").sortWithinPartitions("pos", "term").select("pos", "term", "freq", "length").write.options(**SHORT_PAGES).parquet(f"{path}/documents")
     return open_impacts(index, path)
 
 
 def open_impacts(index: Postings, path: str) -> Impacts:
-    spark: SparkSession = index.postings.sparkSession
-    impacts, levels, documents = (spark.read.parquet(f"{path}/{t}") for t in ("impacts", "levels", "documents"))
+    spark: SparkSession = index.documents.sparkSession
+    impacts, levels = (spark.read.parquet(f"{path}/{t}") for t in ("impacts", "levels"))
     sizes = index.corpus.first()
-    return Impacts(impacts, levels, documents, index, sizes.n_docs, sizes.avg_length)
+    return Impacts(impacts, levels, index.documents, index, sizes.n_docs, sizes.avg_length)
 
 
 @dataclass(frozen=True)
@@ -145,11 +145,11 @@ def plan(index: Impacts, terms: list, limit: int) -> Plan:
 
 def search(index: Impacts, queries: DataFrame, limit: int = CANDIDATES, compatibility: bool = True) -> DataFrame:
     """query_id, pos, id, score, rank: the rows of bm25.search. Queries (query_id, text) of more than MOST_TERMS terms in all
-    meet all postings by joins, as there."""
+    meet all documents, as there."""
     asked = query_terms(queries.select(F.col("query_id").cast("string").alias("query_id"), "text"), compatibility)
     terms = asked.limit(MOST_TERMS + 1).collect()
     if len(terms) > MOST_TERMS:
-        best = top(scores(index.postings, queries, compatibility), limit)
+        best = top(nearest(index.postings, queries, limit, compatibility), limit)
     else:
         best = top(_scored(index, plan(index, terms, limit)), limit)
         best = best.withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
@@ -162,9 +162,10 @@ def _scored(index: Impacts, made: Plan) -> DataFrame:
     kind = index.documents.schema["pos"].dataType.simpleString()
     if not made.weights:
         return local(spark, [], f"query_id string, pos {kind}, score double")
-    own = index.documents.filter(any_of([F.col("term") == t for t in sorted({t for _, t in made.weights})]))
+    documents = index.documents
     if made.numbers is not None:
-        own = own.filter(any_of([F.col("pos").between(a, b) for a, b in spans(made.numbers)]))
+        documents = documents.filter(any_of([F.col("pos").between(a, b) for a, b in spans(made.numbers)]) & F.col("pos").isin(made.numbers))
+    own = exploded(documents).filter(any_of([F.col("term") == t for t in sorted({t for _, t in made.weights})]))
     weights = local(spark, [(q, t, w) for (q, t), w in made.weights.items()], "query_id string, term string, weight double")
     met = own.join(F.broadcast(weights), "term").join(made.documents, ["query_id", "pos"])
     part = F.col("weight") * impact(F.lit(float(index.avg_length)))
@@ -177,5 +178,5 @@ def postings_read(index: Impacts, queries: DataFrame, limit: int = CANDIDATES, c
     made = plan(index, terms, limit)
     lists = index.impacts.filter(any_of([F.col("term") == t for t in sorted({t for _, t in made.weights})])).count()
     steps = [index.impacts.filter(c).count() for c in made.read]
-    looked = index.documents.filter(F.col("pos").isin(made.numbers or []) & F.col("term").isin(sorted({t for _, t in made.weights}))).count()
+    looked = exploded(index.documents.filter(F.col("pos").isin(made.numbers or []))).filter(F.col("term").isin(sorted({t for _, t in made.weights}))).count()
     return {"first": steps[0] if steps else 0, "second": steps[1] if steps else 0, "lookups": looked, "lists": lists, "index": index.impacts.count()}

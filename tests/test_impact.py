@@ -67,3 +67,12 @@ def test_spans():
     assert bm25.spans([1, 2, 3, 50, 51, 90], 2) == [(1, 3), (50, 90)] or bm25.spans([1, 2, 3, 50, 51, 90], 2) == [(1, 51), (90, 90)]
     covered = bm25.spans(list(range(0, 1000, 7)), 10)
     assert len(covered) == 10 and covered[0][0] == 0 and covered[-1][1] == 994
+
+
+def test_the_index_has_no_lists_beside_those_by_impact(spark, tmp_path):
+    postings = bm25.save_postings(corpus(spark, 60), f"{tmp_path}/p", lists=False)
+    made = impact.save_impacts(postings, f"{tmp_path}/i")
+    assert sorted(x.name for x in tmp_path.glob("*/*")) == ["corpus", "documents", "impacts", "levels", "stats", "terms"]
+    queries = spark.createDataFrame(list(QUERIES.items()), "query_id string, text string")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.pos, r.id) for r in df.collect())
+    assert rows(impact.search(made, queries, 9)) == rows(bm25.search(postings, queries, 9))
