@@ -28,6 +28,8 @@ from .near_dedup import M1, mix
 K1, B = 1.5, 0.75
 #: Tokens of a word at most; what follows stands in a script without spaces.
 LONG_WORD = 12
+#: Words that a task counts before it hands them on: adding them up takes some 60 bytes for each.
+COUNTED = 600_000
 #: The split pattern of byte-level pre-tokenizers (a fixed value of the format).
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -124,7 +126,7 @@ def _tokenised(docs: DataFrame, path: str, end: int, id_col: str, text_col: str)
 
     def run(batches):
         coder = tokens(path)
-        counter = Counter()
+        counter = Counter(COUNTED)
         names = ["kind", "id", "key", "ids", "counts", "words"]
 
         def counted():

@@ -73,3 +73,15 @@ def test_scratch_goes(spark):
     assert exists(f"{root}/x.bin")
     clear_scratch()
     assert not exists(root)
+
+
+def test_a_worker_keeps_no_files_of_the_operator_before(tmp_path):
+    from spindrift.llm import common
+
+    common.resident(("first",), list)
+    (tmp_path / "x.bin").write_bytes(b"\1" * 100)
+    assert common.map_file(str(tmp_path / "x.bin")).sum() == 100 and common._MAPPED
+    common.resident(("first",), list)
+    assert common._MAPPED  # the same operator goes on with them
+    common.resident(("second",), list)
+    assert not common._MAPPED
