@@ -86,6 +86,15 @@ _NAMED = f"""named as (select doc_id * {NAMES} + i as number, {_norm("substr(tex
 asked as (select item_id, {_norm('text')} as t from benchmark)"""
 
 
+def many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = read(spark, sf_dir, "documents").select("doc_id", F.col("text").substr(1, NAMES * 23 + 18).alias("text")).repartition("doc_id")  # one file may be one task
+    # A row of a piece holds no text: rows wait in the executors' queues of Python functions.
+    piece = lambda i: F.col("text").substr(1 + i * 23, (9 + (F.col("doc_id") + i) % 10).cast("int"))
+    docs = dealt.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(NAMES - 1)), lambda i: F.struct(i.alias("i"), piece(i).alias("piece")))).alias("at")).select("doc_id", "at.i", "at.piece")
+    gives = F.array(F.concat(F.lit("c"), F.col("doc_id").cast("string")), F.concat(F.lit("x"), F.col("i").cast("string")))
+    return docs.select((F.col("doc_id") * NAMES + F.col("i")).alias("number"), F.lit(0).alias("kind"), T.normalize(F.col("piece")).alias("name"), gives.alias("gives"))
+
+
 @query(
     "expand_many_names",
     f"""with recursive {_NAMED},
@@ -104,13 +113,8 @@ asked as (select item_id, {_norm('text')} as t from benchmark)"""
 )
 def expand_many_names(spark, sf_dir):
     """Benchmark texts, expanded by a hundred times as many names as there are documents."""
-    dealt = read(spark, sf_dir, "documents").select("doc_id", F.col("text").substr(1, NAMES * 23 + 18).alias("text")).repartition("doc_id")  # one file may be one task
-    docs = dealt.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(NAMES - 1))).alias("i"))
-    piece = F.col("text").substr(1 + F.col("i") * 23, (9 + (F.col("doc_id") + F.col("i")) % 10).cast("int"))
-    gives = F.array(F.concat(F.lit("c"), F.col("doc_id").cast("string")), F.concat(F.lit("x"), F.col("i").cast("string")))
-    own = docs.select((F.col("doc_id") * NAMES + F.col("i")).alias("number"), F.lit(0).alias("kind"), T.normalize(piece).alias("name"), gives.alias("gives"))
     asked_ = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return names.expand(asked_, own, scratch(spark)).withColumnRenamed("query_id", "item_id")
+    return names.expand(asked_, many_names(spark, sf_dir), scratch(spark)).withColumnRenamed("query_id", "item_id")
 
 
 VERSIONS = """old as (select doc_id as path, md5(text) as hash from documents),

@@ -6,7 +6,7 @@ their characters, the longest first, so that no two overlap. What the names stan
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,8 +16,6 @@ from ..functions.text import has_cjk, normalize
 from . import patterns
 from .expand import MOST
 
-#: Entries of one and the same name that can claim places in one query.
-SAME = 4096
 #: First characters by which names are told that no query holds, and beginnings in queries up to which these are broadcast.
 BEGIN, MOST_HELD = 12, 2_000_000
 
@@ -38,8 +36,9 @@ def claim(text: str, found: list[tuple[tuple, str, list[int]]]) -> list[tuple]:
     """The entries that get a place, in order. found: (kind, number) of each entry with its name and the name's places; the
     longest names of a kind come first, and each takes its first place that none before has touched."""
     taken, out = bytearray(len(text)), []
+    left: dict[str, Iterator[int]] = {}  # a name's places that no entry has looked at; those before stay taken
     for key, name, places in sorted(found, key=lambda x: (x[0][0], -len(x[1]), x[0][1])):
-        at = next((p for p in places if not any(taken[p : p + len(name)])), None)
+        at = next((p for p in left.setdefault(name, iter(places)) if not any(taken[p : p + len(name)])), None)
         if at is not None:
             taken[at : at + len(name)] = b"\1" * len(name)
             out.append(key)
@@ -69,8 +68,10 @@ def expand(queries: DataFrame, names: DataFrame, path: str) -> DataFrame:
     asked.write.parquet(f"{path}/queries")
     asked = spark.read.parquet(f"{path}/queries")
     names = possible(asked, names)
+    # Entries of one name claim places in the order of their numbers, so no more than there are places in a query can get one.
+    longest = asked.agg(F.max(F.length("text"))).first()[0] or 0
     nth = Window.partitionBy("name", "kind").orderBy("number")  # cut before it is shuffled
-    few = names.filter("name <> ''").withColumn("_nth", F.row_number().over(nth)).filter(F.col("_nth") <= SAME)
+    few = names.filter("name <> ''").withColumn("_nth", F.row_number().over(nth)).filter(F.col("_nth") <= longest).filter(F.col("_nth") * F.length("name") <= longest)
     ranked = few.select("name", "kind", "_nth", "number", "gives")
     ranked.write.parquet(f"{path}/names")
     stored = spark.read.parquet(f"{path}/names")
@@ -88,16 +89,20 @@ def expand(queries: DataFrame, names: DataFrame, path: str) -> DataFrame:
     kind = queries.schema["query_id"].dataType.simpleString()
     found = asked.mapInArrow(places, f"query_id {kind}, start int, name string")
     spots = found.groupBy("query_id", "name").agg(F.sort_array(F.collect_list("start")).alias("places"))  # of one query
-    held = spots.join(stored.select("name", "kind", "number", "_nth"), "name").join(asked, "query_id").filter((F.col("kind") == 0) | has_cjk(F.col("text")))
+    first = F.col("_nth") == 1  # places and text travel with a name's first entry alone
+    claiming = spots.join(stored.select("name", "kind", "number", "_nth"), "name").filter(F.col("_nth") <= F.size("places"))
+    claiming = claiming.withColumn("places", F.when(first, F.col("places")))
+    held = claiming.join(asked, "query_id").filter((F.col("kind") == 0) | has_cjk(F.col("text"))).withColumn("text", F.when(first, F.col("text")))
     # Names of one query meet in a task: as many as its text holds. Numbers travel as places in their order.
     order = Window.partitionBy("query_id", "kind").orderBy("number")
     numbered = held.withColumn("_n", F.row_number().over(order))
 
     def claims(key, table):
-        rows = defaultdict(list)
-        for name, k, n, where, t in zip(*(table.column(c).to_pylist() for c in ("name", "kind", "_n", "places", "text")), strict=True):
-            rows[t].append(((k, n), name, where))
-        out = [(key[0].as_py(), i, k, n) for t, own in rows.items() for i, (k, n) in enumerate(claim(t, own))]
+        columns = (table.column(c).to_pylist() for c in ("name", "kind", "_n", "places", "text"))
+        rows = list(zip(*columns, strict=True))
+        where = {name: places for name, _, _, places, _ in rows if places is not None}
+        text = next(t for *_, t in rows if t is not None)
+        out = [(key[0].as_py(), i, k, n) for i, (k, n) in enumerate(claim(text, [((k, n), name, where[name]) for name, k, n, _, _ in rows]))]
         columns = list(zip(*out, strict=True)) or [()] * 4
         return pa.Table.from_arrays([pa.array(columns[0], key[0].type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], names=["query_id", "turn", "kind", "_n"])
 

@@ -1,5 +1,6 @@
 import random
 
+from spindrift.catalogue_indexes import many_names
 from spindrift.operators import expand, names
 
 WORDS = ["walk", "run", "sound", "floor", "of", "the", "声音", "地面", "a"]
@@ -30,3 +31,19 @@ def test_only_names_that_queries_can_hold_are_written(spark, tmp_path):
     got = {r.query_id: r.text for r in names.expand(asked, table, str(tmp_path / "x")).collect()}
     assert got == {1: "the walking speed of it w", 2: None, 3: "ab short"}
     assert spark.read.parquet(str(tmp_path / "x" / "names")).count() == 3
+
+
+def test_names_wait_for_functions_without_the_texts_they_are_cut_from(spark):
+    node = many_names(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "ArrowEvalPython":
+        node = node.children().head()
+    columns = [node.output().apply(i).name() for i in range(node.output().size())]
+    assert "doc_id" in columns and "text" not in columns
+
+
+def test_a_query_that_holds_a_name_very_often(spark, tmp_path):
+    """Every entry of a name claims a place of its own, as long as there are places."""
+    table = spark.createDataFrame([(i, 0, "a", ["late" if i == 4199 else "never" if i == 4200 else "x"]) for i in range(4250)], "number long, kind int, name string, gives array<string>")
+    asked = spark.createDataFrame([(1, "a " * 4200), (2, "a b a")], "query_id long, text string")
+    got = {r.query_id: r.text for r in names.expand(asked, table, str(tmp_path / "x")).collect()}
+    assert got == {1: "a " * 4200 + "x late", 2: "a b a x"}
